@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokens
+from . import html_text, langid, packing, pii, tokens
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,20 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(tokens.MODEL))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(docs))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.learn(docs))
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
 
@@ -24,6 +38,9 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_token_counts": op2_token_counts,
+        "op4_html_text": op4_html_text,
+        "op5_language_id": op5_language_id,
+        "op9_personal_data": op9_personal_data,
         "op10_harmonic_packing": op10_harmonic_packing,
     }
 
