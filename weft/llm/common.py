@@ -56,3 +56,16 @@ def let(value: Column, body) -> Column:
 def words(text: Column) -> Column:
     """Maximal runs of characters other than ASCII white space; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT), lambda w: w != "")
+
+
+def looked_up(rows: DataFrame, keys: DataFrame, on: str, n_keys: int, *, how: str = "inner", limit: int = 1_000_000, salts: int = 16) -> DataFrame:
+    """Equi-join of ``rows`` with ``keys``, of which there are ``n_keys``: broadcast only up to ``limit`` of them.
+
+    Beyond it both sides are shuffled, each key's rows over ``salts`` tasks, so that one key with a large share of the rows
+    doesn't land in one task.
+    """
+    if n_keys <= limit:
+        return rows.join(F.broadcast(keys), on, how)
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != on]), F.lit(salts)))
+    copies = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return spread.join(copies, [on, "_salt"], how).drop("_salt")
