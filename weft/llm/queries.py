@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, langid, line_dedup, oracles, packing, pii, quality, tokens
+from . import chat, decontaminate, html_text, langid, line_dedup, oracles, packing, pii, quality, tokens
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(tokens.MODEL))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(read_table(spark, sf_dir, "pages"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_token_counts": op2_token_counts,
+        "op3_decontaminate": op3_decontaminate,
         "op4_html_text": op4_html_text,
         "op5_language_id": op5_language_id,
         "op6_chat_format": op6_chat_format,
