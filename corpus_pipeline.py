@@ -1,21 +1,50 @@
-"""The corpus pipeline: stages of ``weft.llm`` applied to ``documents`` one after the other."""
+"""The corpus pipeline: stages of ``weft.llm`` applied to ``documents`` one after the other.
+
+Each stage takes what its predecessor kept. All but the last return the columns of ``documents``; the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import packing
+from weft.llm import decontaminate, langid, line_dedup, minhash, packing
 from weft.llm.common import materialize, read_table
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language models reject go."""
+    return langid.keep_identified(docs, langid.learn(docs))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many sites share go; every document stays."""
+    return line_dedup.remove_shared_lines(docs).select(*docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return minhash.keep_first(docs)
+
+
+def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark")))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(packing.TOKENIZER))
 
 
-STAGES = [("pack", pack)]
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_documents),
+    ("decontaminate", decontaminate_documents),
+    ("pack", pack),
+]
 
-#: The merges of a tokenizer can't be put in SQL; ``tests/llm`` holds the stages against brute force.
+#: Language models and a tokenizer's merges can't be put in SQL; ``tests/llm`` holds the stages against brute force.
 ORACLE_SQL = None
 
 

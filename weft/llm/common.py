@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.plans.tables import discard, looked_up, materialize, shared_dir
+
+__all__ = ["WORD_SPLIT", "discard", "let", "looked_up", "materialize", "read_table", "shared_dir", "words"]
+
 #: Splits words on ASCII white space only, as the contracts do.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
@@ -16,38 +17,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext.getCheckpointDir()
-        found = held or tempfile.mkdtemp(prefix="weft-")
-        if not held:
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors.
-
-    Parquet rather than ``checkpoint()`` because it is compressed and columnar, so later readers prune columns.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._weft_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what ``materialize`` wrote for ``df`` once nothing reads it any more."""
-    path = getattr(df, "_weft_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-
-
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body``: a lambda variable isn't inlined where it is used again."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -56,16 +25,3 @@ def let(value: Column, body) -> Column:
 def words(text: Column) -> Column:
     """Maximal runs of characters other than ASCII white space; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT), lambda w: w != "")
-
-
-def looked_up(rows: DataFrame, keys: DataFrame, on: str, n_keys: int, *, how: str = "inner", limit: int = 1_000_000, salts: int = 16) -> DataFrame:
-    """Equi-join of ``rows`` with ``keys``, of which there are ``n_keys``: broadcast only up to ``limit`` of them.
-
-    Beyond it both sides are shuffled, each key's rows over ``salts`` tasks, so that one key with a large share of the rows
-    doesn't land in one task.
-    """
-    if n_keys <= limit:
-        return rows.join(F.broadcast(keys), on, how)
-    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != on]), F.lit(salts)))
-    copies = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return spread.join(copies, [on, "_salt"], how).drop("_salt")

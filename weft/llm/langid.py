@@ -258,3 +258,18 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(worker, SCHEMA)
+
+
+def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text is rejected: no letters, or unlike every learned language. All columns pass through;
+    nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def worker(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                yield part.filter(pa.array([not rejected for *_, rejected in shared.value.predict_all(part.column(at).to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(worker, docs.schema)

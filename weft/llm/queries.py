@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, langid, line_dedup, oracles, packing, pii, quality, tokens
+from . import chat, decontaminate, html_text, langid, line_dedup, minhash, oracles, packing, pii, quality, tokens
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=4)
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return pii.find(docs, pii.learn(docs))
@@ -63,6 +67,7 @@ def queries() -> dict[str, Query]:
         "op5_language_id": op5_language_id,
         "op6_chat_format": op6_chat_format,
         "op7_quality_rules": op7_quality_rules,
+        "op8_near_duplicates": op8_near_duplicates,
         "op9_personal_data": op9_personal_data,
         "op10_harmonic_packing": op10_harmonic_packing,
     }
