@@ -26,9 +26,9 @@ SAMPLE_CHARS = 1_500_000
 MAX_LANGUAGES = 400
 #: One of so many sampled texts calibrates the rejection in place of the fit.
 CALIBRATE = 5
-#: Rejection begins so many nats a character beyond this quantile of the calibration texts' cross-entropies.
-MARGIN = 0.6
-QUANTILE = 0.99
+#: Rejection begins so many nats a character beyond this quantile of the calibration texts' cross-entropies, and further
+#: beyond for a short text: its cross-entropy deviates with one over the root of its length.
+QUANTILE, MARGIN, SHORT = 0.99, 0.9, 4.0
 #: Nats a character to log-odds, for the score.
 SHARPNESS = 12.0
 UNKNOWN = "und"
@@ -144,7 +144,7 @@ class Model:
                 continue
             best = int(row.argmin())
             score = 1.0 / float(np.exp(np.clip((row[best] - row) * SHARPNESS, -700, 0)).sum())
-            out.append((self.langs[best], score, float(row[best]), bool(row[best] > self.limits[best])))
+            out.append((self.langs[best], score, float(row[best]), bool(row[best] > self.limits[best] + SHORT / math.sqrt(sum(map(len, ws))))))
         return out
 
 
