@@ -2,9 +2,9 @@
 
 A document is its set of word shingles. Equal sets form a class at once; the rest is about classes. Banded signatures give buckets of
 candidates. Within a bucket not all pairs are made: members are held against one member of their part of the bucket, these
-against one of the bucket, chosen anew in every band, so a bucket of any size gives as many pairs as it has members. Pairs of one
-bucket that are still in different components afterwards are then made too, but only those, so no link is lost and no copies are
-expanded into all pairs.
+against one of the bucket, chosen anew in every band, so a bucket of any size gives as many pairs as it has members. Members of buckets that
+are still in different components afterwards are paired by an exact filter on their rarest shingles, so no link is lost and no
+group is expanded into all pairs.
 
 A pair is compared signature batch by signature batch; it is dropped as soon as the posterior probability that its similarity
 reaches the threshold is under ``MISS``. Survivors are verified on the full sets, made from the texts again.
@@ -32,8 +32,8 @@ BATCH, MISS = 16, 1e-7
 #: Parts of a bucket with a member of their own that the others are held against.
 PARTS = 32
 CACHE_WORDS = 400_000
-#: Members of a bucket for each task that makes its remaining pairs.
-SPREAD = 256
+#: Members of a group for each task that makes its remaining pairs, and the ratio of sizes within a size class.
+SPREAD, CLASS = 256, 1.05
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _XOR = _RNG.integers(0, 2**64, BANDS * ROWS, np.uint64)[:, None]
@@ -190,22 +190,95 @@ def _other(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
     return out.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select(*pairs.columns)
 
 
-def _remaining(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs of one bucket in different components: each member outside a bucket's largest component against all others.
-
-    A bucket's members are dealt over as many tasks as it has ``SPREAD`` of them.
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` of the groups ``key`` whose members ``node`` are in several components, with the member's ``root``, the number ``m``
+    of the group's rows and its largest component ``top``."""
+    own = looked_up(rows, roots.select(F.col("id").alias("node"), "root"), "node", roots.count(), how="left")
+    own = materialize(own.withColumn("root", F.coalesce("root", "node")), "members")
+    sizes = own.groupBy("key", "root").agg(F.count("*").alias("m"))
+    keys = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("top"))
+    keys = materialize(keys.where("roots > 1").select("key", "m", F.col("top.root").alias("top")), "open-keys")
+    return looked_up(own, keys, "key", keys.count())
+
+
+def _class(n: int) -> int:
+    """Size class: sizes in one are within ``CLASS`` of each other."""
+    return int(math.log(n) / math.log(CLASS) + 1e-9)
+
+
+def _prefix(tokens: np.ndarray, counts: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, sides, places): keys of which a set has one in common with every set that is similar enough. They are its rarest tokens, as
+    many as such a partner can lack and one more, for each size class that a partner may be in. A key is for one pair of classes;
+    side 0 meets 0 (one class), 1 meets 2."""
+    n = len(tokens)
+    own = tokens[np.lexsort((tokens, counts[(tokens & np.uint64(len(counts) - 1)).astype(np.int64)]))]
+    mine, keys, sides, places = _class(n), [], [], []
+    for other in range(_class(-(-similarity * n // 100)), _class(100 * n // similarity) + 1):
+        smallest = max(int(CLASS**other), -(-similarity * n // 100))
+        length = n + 1 - -(-similarity * (n + smallest) // (100 + similarity))
+        salt = np.uint64((min(mine, other) * 4096 + max(mine, other)) * 0x9E3779B97F4A7C15 % 2**64)
+        keys.append(_mixed(own[:length] ^ salt))
+        sides.append(np.full(length, 0 if other == mine else 1 if other > mine else 2, np.int32))
+        places.append(np.arange(length, dtype=np.int32))
+    return np.concatenate(keys).view(np.int64), np.concatenate(sides), np.concatenate(places)
+
+
+def _apart(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: int) -> DataFrame:
+    """Pairs ``a, b`` in different components that may still be similar enough, of all members of buckets with several components.
+
+    Members of a bucket aren't paired with each other; an exact filter does it: similar sets have one of their rarest tokens in
+    common. What keeps a member out of a large component of copies is that it has many tokens that these lack, and those
+    come first, so it doesn't meet the copies. Of the members with a key, only those outside its largest component are paired with
+    the others, dealt over as many tasks as there are ``SPREAD`` of them.
     """
-    rows = looked_up(members.select("key", "node", "n"), roots.select(F.col("id").alias("node"), "root"), "node", roots.count(), how="left")
-    rows = rows.select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("m"))
-    per_key = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("m", "root")).alias("top")).where("roots > 1")
-    open_keys = materialize(per_key.select("key", F.col("top.root").alias("top")), "open-buckets")
-    rows = materialize(looked_up(rows, open_keys, "key", open_keys.count()).where("n > 2"), "open-members")
-    tasks = F.ceil(F.col("n") / SPREAD)
-    each = rows.where("root <> top").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1)).alias("task"))
-    every = rows.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.pmod(F.xxhash64("node"), tasks).alias("task"))
-    pairs = each.join(every, ["key", "task"]).where("ra <> rb")
-    discard(open_keys)
+    slots = 1 << 20
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(k, s) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if len(s := shingle_set(t, size)) and set_key(s) == k]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], ["node", "tokens"])
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for b in batches:
+            flat = b.column(0).flatten().to_numpy()
+            total += np.bincount(flat & (slots - 1), minlength=slots)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "m"])
+
+    opened = _open(members.select("key", "node"), roots).select("node").distinct()
+    wanted = materialize(opened.join(nodes.select("node", F.col("rep").alias("doc_id")), "node"), "wanted")
+    own = materialize(looked_up(docs, wanted, "doc_id", wanted.count()).select("node", "text").mapInArrow(sets, "node long, tokens array<long>").dropDuplicates(["node"]), "sets")
+    counts = np.zeros(slots, np.int64)  # how often tokens occur, by a hash: bounded, and only the order of a prefix depends on it
+    for r in own.select("tokens").mapInArrow(counted, "slot long, m long").groupBy("slot").agg(F.sum("m").alias("m")).collect():
+        counts[r.slot] = r.m
+    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
+
+    def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                cols: list[list] = [[], [], [], [], []]
+                for node, x in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    key, side, place = _prefix(x.values.to_numpy().view(np.uint64), shared.value, similarity)
+                    for c, v in zip(cols, (key, np.full(len(key), node), side, place, np.full(len(key), len(x.values), np.int32)), strict=True):
+                        c.append(v)
+                if cols[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["key", "node", "side", "place", "size"])
+
+    rows = own.mapInArrow(prefixes, "key long, node long, side int, place int, size int")
+    found = materialize(_open(rows, roots), "open")
+    tasks = F.ceil(F.col("m") / SPREAD)
+    named = lambda end: [F.col(c).alias(f"{c}_{end}") for c in ("root", "place", "size")]
+    each = found.where("root <> top").select("key", F.col("node").alias("a"), *named("a"), ((3 - F.col("side")) % 3).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), tasks - 1)).alias("task"))
+    every = found.select("key", F.col("node").alias("b"), *named("b"), "side", F.pmod(F.xxhash64("node"), tasks).alias("task"))
+    # At the first token in common, no more than the rest of the shorter remainder can be shared.
+    most = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    fits = (each["root_a"] != every["root_b"]) & ((100 + similarity) * most >= similarity * (F.col("size_a") + F.col("size_b")))
+    on = (each["key"] == every["key"]) & (each["task"] == every["task"]) & (each["side"] == every["side"])
+    pairs = each.join(every, on & fits)
+    discard(wanted)
+    discard(own)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -238,7 +311,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: int = SIMILAR
 
     # Pairs of one bucket that are still apart.
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = materialize(_remaining(members, roots).join(done, ["a", "b"], "left_anti"), "apart")
+    left = materialize(_apart(members, roots, nodes, docs, size, similarity).join(done, ["a", "b"], "left_anti"), "apart")
     more = materialize(_alike(left, nodes, similarity), "alike")
     if more.take(1):
         links = links.union(_verified(more, nodes, docs, size, similarity))
