@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions.metrics import distance, pairwise
-from weft.plans.tables import discard, materialize
+from weft.plans.tables import materialize
 
 if TYPE_CHECKING:
     import numpy as np
@@ -312,4 +312,4 @@ def _row_metric(metric):
     return apply
 
 
-__all__ = ["Graph", "numbered", "discard"]
+__all__ = ["Graph", "numbered"]
