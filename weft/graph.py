@@ -4,17 +4,15 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Sequence
-from typing import TYPE_CHECKING
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions.metrics import distance, pairwise
 from weft.plans.tables import materialize
 
-if TYPE_CHECKING:
-    import numpy as np
-
 #: Adapters that bring a graph to the driver refuse more edges than this.
 LOCAL_EDGES = 5_000_000
 
@@ -302,9 +300,6 @@ def numbered(ids: DataFrame, span: int = 1 << 16) -> DataFrame:
 
 
 def _row_metric(metric):
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("double")
     def apply(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([float(pairwise(np.array([x]), np.array([y]), metric)[0, 0]) for x, y in zip(a, b, strict=True)])
