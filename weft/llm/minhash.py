@@ -31,7 +31,7 @@ BANDS, ROWS = 28, 4
 BATCH, MISS = 16, 1e-7
 #: Parts of a bucket with a member of their own that the others are held against.
 PARTS = 32
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Members of a group for each task that makes its remaining pairs, and the ratio of sizes within a size class.
 SPREAD, CLASS = 256, 1.05
 
@@ -134,8 +134,8 @@ def _alike(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: int) -> DataFrame:
     """Pairs ``a, b`` whose full sets are similar enough.
 
-    Texts travel, not sets: they are smaller. Pairs are dealt by ``b`` with its text in front, so that is sent once, and a task
-    holds one set at a time.
+    Texts travel, not sets: they are smaller. Pairs are dealt by ``b`` (over several tasks where it has more than ``SPREAD``), its text in
+    front of those of its pairs, so it is sent once to each task, and a task holds one set at a time.
     """
 
     def worker(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,12 +157,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, si
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = materialize(ends.join(nodes.select("node", F.col("rep").alias("doc_id")), "node"), "wanted")
     texts = materialize(looked_up(docs, wanted, "doc_id", wanted.count()).select("node", "text"), "texts")
-    heads = pairs.select("b").distinct().join(texts.withColumnRenamed("node", "b"), "b").select("b", F.lit(None).cast("long").alias("a"), "text")
-    rows = pairs.select("a", "b").join(texts.withColumnRenamed("node", "a"), "a").select("b", "a", "text")
-    dealt = heads.union(rows).repartition("b").sortWithinPartitions("b", F.asc_nulls_first("a"))
+    tasks = materialize(pairs.groupBy("b").agg(F.ceil(F.count("*") / SPREAD).alias("tasks")), "tasks")
+    heads = tasks.join(texts.withColumnRenamed("node", "b"), "b").select("b", F.lit(None).cast("long").alias("a"), "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"))
+    rows = looked_up(pairs.select("a", "b"), tasks, "b", tasks.count()).join(texts.withColumnRenamed("node", "a"), "a")
+    rows = rows.select("b", "a", "text", F.pmod(F.xxhash64("a"), F.col("tasks")).alias("task"))
+    dealt = heads.union(rows).repartition("b", "task").sortWithinPartitions("b", "task", F.asc_nulls_first("a")).drop("task")
     out = materialize(dealt.mapInArrow(worker, "a long, b long").distinct(), "links")
-    discard(wanted)
-    discard(texts)
+    for old in (wanted, texts, tasks):
+        discard(old)
     return out
 
 
@@ -201,6 +203,18 @@ def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return looked_up(own, keys, "key", keys.count())
 
 
+def _central(members: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs ``a, b``: of each bucket the members outside its largest component, with this component's member that has most links."""
+    rows = materialize(_open(members.where("n > 2").select("key", "node"), roots), "open")
+    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("d"))
+    degree = materialize(degree, "degrees")
+    inside = looked_up(rows.where("root = top").select("key", "node"), degree, "node", degree.count(), how="left")
+    best = inside.groupBy("key").agg(F.max(F.struct(F.coalesce("d", F.lit(0)).alias("d"), "node")).alias("h"))
+    best = materialize(best.select("key", F.col("h.node").alias("b")), "hubs")
+    pairs = looked_up(rows.where("root <> top").select("key", F.col("node").alias("a")), best, "key", best.count())
+    return pairs.select("a", "b").distinct()
+
+
 def _class(n: int) -> int:
     """Size class: sizes in one are within ``CLASS`` of each other."""
     return int(math.log(n) / math.log(CLASS) + 1e-9)
@@ -231,7 +245,7 @@ def _apart(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFra
     come first, so it doesn't meet the copies. Of the members with a key, only those outside its largest component are paired with
     the others, dealt over as many tasks as there are ``SPREAD`` of them.
     """
-    slots = 1 << 20
+    slots = 1 << 17
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -246,12 +260,13 @@ def _apart(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFra
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "m"])
 
-    opened = _open(members.select("key", "node"), roots).select("node").distinct()
+    several = members.where("n > 2").select("key", "node")  # the pair of a bucket of two was tried
+    opened = _open(several, roots).select("node").distinct()
     wanted = materialize(opened.join(nodes.select("node", F.col("rep").alias("doc_id")), "node"), "wanted")
     own = materialize(looked_up(docs, wanted, "doc_id", wanted.count()).select("node", "text").mapInArrow(sets, "node long, tokens array<long>").dropDuplicates(["node"]), "sets")
     counts = np.zeros(slots, np.int64)  # how often tokens occur, by a hash: bounded, and only the order of a prefix depends on it
-    for r in own.select("tokens").mapInArrow(counted, "slot long, m long").groupBy("slot").agg(F.sum("m").alias("m")).collect():
-        counts[r.slot] = r.m
+    seen = own.select("tokens").mapInArrow(counted, "slot long, m long").groupBy("slot").agg(F.sum("m").alias("m")).toArrow()
+    counts[seen["slot"].to_numpy()] = seen["m"].to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
 
     def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,8 +324,14 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: int = SIMILAR
     discard(roots)
     roots = connected_components(links)
 
-    # Pairs of one bucket that are still apart.
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # Members outside the largest component of a bucket against the one with most links in it: copies lie around their source.
+    central = materialize(_central(members, roots, links).join(tried, ["a", "b"], "left_anti"), "central")
+    links = links.union(_verified(materialize(_alike(central, nodes, similarity), "alike"), nodes, docs, size, similarity))
+    discard(roots)
+    roots = connected_components(links)
+
+    # Members of one bucket that are still apart.
+    done = tried.union(central).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     left = materialize(_apart(members, roots, nodes, docs, size, similarity).join(done, ["a", "b"], "left_anti"), "apart")
     more = materialize(_alike(left, nodes, similarity), "alike")
     if more.take(1):
