@@ -57,7 +57,7 @@ def luhn(digits: str) -> bool:
 
 def _accepted(kind: str, text: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+        return all(len(q := p.lstrip("0")) <= 3 and int(q or 0) <= 255 for p in text.split("."))
     if kind == "card":
         digits = _NON_DIGIT.sub("", text)
         return 16 <= len(digits) <= 19 and luhn(digits)
