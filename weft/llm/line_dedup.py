@@ -20,6 +20,8 @@ MIN_SITES = 8
 #: whole, for near-duplicate detection to deal with.
 COPY_SHARE = 0.8
 LG_K = 12
+#: Tasks over which a frequent line's rows are dealt, where there are too many shared lines to broadcast.
+SALTS = 16
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -44,7 +46,7 @@ def shared_lines(docs: DataFrame, *, text_col: str = "text", site_col: str = "so
     clear = found.where(F.col("sites") > min_sites + band).select("key")
     near = found.where(F.col("sites") <= min_sites + band).select("key")
     # one row for each line and site, so a frequent line isn't one key with many rows
-    exact = looked_up(rows, near, "key", near.count()).distinct().groupBy("key").agg(F.count("site").alias("n"))
+    exact = looked_up(rows, near, "key", near.count(), salts=SALTS).distinct().groupBy("key").agg(F.count("site").alias("n"))
     return clear.unionByName(exact.where(F.col("n") >= min_sites).select("key"))
 
 
@@ -67,7 +69,7 @@ def remove_shared_lines(
     keys = materialize(shared_lines(docs, text_col=text_col, site_col=site_col, min_sites=min_sites), "shared-lines")
     own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.explode(lines_of(F.col(text_col))).alias("line"))
     own = own.select("_id", "_h", line_key(F.col("line")).alias("key")).where("key IS NOT NULL")
-    hit = looked_up(own, keys, "key", keys.count()).groupBy("_id", "_h").agg(F.collect_set("key").alias("_keys"))
+    hit = looked_up(own, keys, "key", keys.count(), salts=SALTS).groupBy("_id", "_h").agg(F.collect_set("key").alias("_keys"))
     tagged = docs.withColumn("_h", F.xxhash64(F.col(text_col)))
     both = tagged.join(hit, tagged[id_col].eqNullSafe(hit["_id"]) & (tagged["_h"] == hit["_h"]), "left").select(tagged["*"], "_keys")
 
