@@ -43,14 +43,17 @@ def discard(df: DataFrame | None) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
-def looked_up(rows: DataFrame, keys: DataFrame, on: str, n_keys: int, *, how: str = "inner", limit: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
-    """Equi-join of ``rows`` with ``keys``, of which there are ``n_keys``: broadcast only up to ``limit`` of them.
+def looked_up(rows: DataFrame, keys: DataFrame, on: str, n_keys: int, *, how: str = "inner", limit: int = BROADCAST_ROWS, salts: int = 1) -> DataFrame:
+    """Equi-join of ``rows`` with ``keys``, of which there are ``n_keys``, each once: broadcast only up to ``limit`` of them.
 
-    Beyond it both sides are shuffled, each key's rows over ``salts`` tasks, so that one key with a large share of the rows
-    doesn't land in one task.
+    Beyond it both sides are shuffled. A key with a large share of the rows is split by adaptive execution, which repeats only the keys of
+    the partitions it splits; where such keys are sure and keys are few beside rows, ``salts`` deals each key's rows over so many tasks
+    beforehand, whatever the size.
     """
     if n_keys <= limit:
         return rows.join(F.broadcast(keys), on, how)
+    if salts == 1:
+        return rows.join(keys, on, how)
     spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != on]), F.lit(salts)))
     copies = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return spread.join(copies, [on, "_salt"], how).drop("_salt")
