@@ -11,6 +11,6 @@ def docs(spark):
         from pyspark.sql import functions as F
 
         out = spark.createDataFrame([(*r, *[None] * (4 - len(r))) for r in rows], DOCS)
-        return out.withColumns({"key": F.lit(1), "n": F.lit("x"), "node": F.lit(2.5), "h": F.lit(None).cast("int")})
+        return out.withColumns({"key": F.lit(1), "n": F.lit("x"), "node": F.lit(2.5), "h": F.lit(None).cast("int"), "_h": F.lit(1), "row": F.lit(0), "_keys": F.lit("k"), "_id": F.lit(3), "_gone": F.lit(4)})
 
     return make

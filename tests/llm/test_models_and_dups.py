@@ -200,3 +200,21 @@ def test_pipeline(spark, docs, tmp_path):
         now = out
     assert seen
     assert corpus_pipeline.run(spark, sf).count() == now.count()
+
+
+def test_stages_on_odd_rows(spark, docs):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    rows = [(i, _text(rng, "abcdefgh", 60), None if i % 3 else "s", None if i % 2 else "aa") for i in range(12)]
+    rows += [rows[0], (None, None), (20, None), (21, ""), (22, " \n \n"), (None, rows[1][1]), (23, _text(rng, "abcdefgh", 9000)), (24, "12 34"), (25, "a")]
+    for table in (docs(rows), docs([])):
+        now = table
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, "/root/testdata/sf0.001")
+            got = out.collect()
+            if name != "pack":
+                assert out.columns == table.columns
+                now = spark.createDataFrame(got, table.schema)
+        if rows and table.take(1):
+            assert {p.doc_id for p in got} >= {*range(1, 12), 23} and {20, 21, 24}.isdisjoint({p.doc_id for p in got})

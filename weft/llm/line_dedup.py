@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import looked_up, materialize
+from .common import let, looked_up, materialize
 
 #: Distinct sites from which a line counts as boilerplate.
 MIN_SITES = 8
@@ -70,19 +70,21 @@ def remove_shared_lines(
     own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.explode(lines_of(F.col(text_col))).alias("line"))
     own = own.select("_id", "_h", line_key(F.col("line")).alias("key")).where("key IS NOT NULL")
     hit = looked_up(own, keys, "key", keys.count(), salts=SALTS).groupBy("_id", "_h").agg(F.collect_set("key").alias("_keys"))
-    tagged = docs.withColumn("_h", F.xxhash64(F.col(text_col)))
-    both = tagged.join(hit, tagged[id_col].eqNullSafe(hit["_id"]) & (tagged["_h"] == hit["_h"]), "left").select(tagged["*"], "_keys")
+    # The row travels as one value, so its columns' names can't clash with those used here.
+    tagged = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("t"))
+    both = tagged.join(hit, tagged["id"].eqNullSafe(hit["_id"]) & (tagged["h"] == hit["_h"]), "left")
 
     def length(x: Column) -> Column:
         return F.aggregate(x, F.lit(0), lambda n, l: n + F.length(l))
 
     def cleaned(lines: Column) -> Column:
         kept = F.filter(lines, lambda l: ~F.coalesce(F.array_contains(F.col("_keys"), line_key(l)), F.lit(False)))
-        return F.transform(F.array(kept), lambda k: F.when(length(lines) - length(k) > copy_share * length(lines), lines).otherwise(k))[0]
-
-    lines = lines_of(F.col(text_col))
-    kept = F.when(F.col("_keys").isNotNull(), F.transform(F.array(lines), cleaned)[0])
-    out = both.withColumn("_kept", kept).withColumn("_n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.regexp_count(F.col(text_col), F.lit("\n")) + 1).cast("long"))
-    out = out.withColumn("_n_removed", F.when(F.col("_kept").isNull(), 0).otherwise(F.col("_n_lines") - F.size("_kept")).cast("long"))
-    text = F.when(F.col("_n_removed") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text_col))
-    return out.withColumn(text_col, text).drop("_h", "_keys", "_kept")
+        return let(kept, lambda k: F.when(length(lines) - length(k) > copy_share * length(lines), lines).otherwise(k))
+
+    kept = F.when(F.col("_keys").isNotNull(), let(lines_of(F.col("t")), cleaned))
+    n = F.when(F.col("t").isNull(), 0).otherwise(F.regexp_count("t", F.lit("\n")) + 1).cast("long")
+    out = both.select("row", "t", kept.alias("kept"), n.alias("n"))
+    gone = F.when(F.col("kept").isNull(), 0).otherwise(F.col("n") - F.size("kept")).cast("long")
+    out = out.select("row", "t", "kept", "n", gone.alias("gone"))
+    text = F.when(F.col("gone") > 0, F.array_join("kept", "\n")).otherwise(F.col("t"))
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("n").alias("_n_lines"), F.col("gone").alias("_n_removed"))
