@@ -222,8 +222,20 @@ def test_components(spark):
     assert column(analysis.connected_components(g, local_edges=0), "component") == [0, 0, 0, 1, 1, 2]
     strong = graph(spark, [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 3), (5, 0)], 6)
     assert column(analysis.connected_components(strong, connection="strong"), "component") == [0, 0, 0, 1, 1, 2]
+    assert column(analysis.connected_components(strong, connection="strong", local_edges=0), "component") == [0, 0, 0, 1, 1, 2]
     with pytest.raises(ValueError):
         g.connected_components(connection="loose")
+    rng = np.random.default_rng(12)
+    for _ in range(5):
+        n = 14
+        e = [tuple(map(int, x)) for x in rng.integers(0, n, (20, 2))]
+        reach = np.eye(n, dtype=bool)
+        for a, b in e:
+            reach[a, b] = True
+        for k in range(n):
+            reach |= reach[:, k, None] & reach[None, k]
+        want = [int(np.flatnonzero(reach[i] & reach[:, i])[0]) for i in range(n)]
+        assert column(analysis.connected_components(graph(spark, e, n), connection="strong"), "root") == want
     rng = np.random.default_rng(7)
     edges = spark.createDataFrame([tuple(map(int, e)) for e in rng.integers(0, 300, (200, 2))], "a long, b long")
     assert sorted(map(tuple, contracted(edges).collect())) == sorted(map(tuple, analysis._local_roots(edges).collect()))

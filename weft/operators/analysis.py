@@ -36,7 +36,7 @@ def connected_components(graph: Graph, *, connection: str = "weak", local_edges:
     if connection not in ("weak", "strong"):
         raise ValueError(f"connection is weak or strong, not {connection!r}")
     if connection == "strong":
-        roots = _strong(graph)
+        roots = _local_strong(graph) if graph.edges.count() <= local_edges else _strong(graph)
     else:
         edges = graph.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
         roots = _local_roots(edges) if edges.count() <= local_edges else _components.connected_components(edges)
@@ -65,6 +65,43 @@ def _local_roots(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame(list(zip(ids.tolist(), ids[label].tolist(), strict=True)), "id long, root long")
 
 
+def _local_strong(graph: Graph) -> DataFrame:
+    """Strong components of a counted number of edges in one process: one search, in which a vertex that leads back to none before it
+    closes a component."""
+    e = graph.edges.select("src", "dst").toPandas()
+    ids, flat = np.unique(np.concatenate([e["src"].to_numpy(np.int64), e["dst"].to_numpy(np.int64)]), return_inverse=True)
+    order = np.argsort(flat[: len(e)], kind="stable")
+    to, start = flat[len(e) :][order], np.searchsorted(flat[: len(e)][order], np.arange(len(ids) + 1))
+    seen, low, root, path = np.full(len(ids), -1), np.zeros(len(ids), np.int64), np.full(len(ids), -1), []
+    clock, place = 0, np.zeros(len(ids), np.int64)
+    for first in range(len(ids)):
+        if seen[first] >= 0:
+            continue
+        stack = [(first, start[first])]
+        while stack:
+            v, at = stack.pop()
+            if at == start[v] and seen[v] < 0:
+                seen[v] = low[v] = clock
+                clock += 1
+                place[v] = len(path)
+                path.append(v)
+            if at < start[v + 1]:
+                w = to[at]
+                stack.append((v, at + 1))
+                if seen[w] < 0:
+                    stack.append((w, start[w]))
+                elif root[w] < 0:
+                    low[v] = min(low[v], seen[w])
+                continue
+            if low[v] == seen[v]:
+                cut = place[v]
+                root[path[cut:]] = min(path[cut:])
+                del path[cut:]
+            if stack:
+                low[stack[-1][0]] = min(low[stack[-1][0]], low[v])
+    return graph.edges.sparkSession.createDataFrame(list(zip(ids.tolist(), ids[root].tolist(), strict=True)), "id long, root long")
+
+
 def _strong(graph: Graph, max_rounds: int = 200) -> DataFrame:
     """Strong components by colouring: the smallest id that reaches a vertex is its colour; those of a colour that reach the vertex it is named after
     are one component. They are taken out, and the rest goes on."""

@@ -344,7 +344,9 @@ def mountain_car(spark, d):
     return weft.mountain_car_trajectories(weft.mountain_car_traces(spark, 20))
 
 
-@query()
+@query(f"""WITH RECURSIVE {DIST}, o AS (SELECT id, row_number() OVER (ORDER BY id) AS i, (SELECT coalesce(list(t), []) FROM dist WHERE s = id AND t < id AND d <= 1.2) AS near FROM p),
+c(i, taken) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT c.i + 1, CASE WHEN list_has_any(taken, near) THEN taken ELSE list_append(taken, o.id) END FROM c JOIN o ON o.i = c.i + 1)
+SELECT unnest(taken) AS id FROM c WHERE i = (SELECT count(*) FROM p)""")
 def epsilon_net(spark, d):
     return weft.epsilon_net(points(spark, d), 1.2)
 
@@ -467,7 +469,8 @@ def connected_components(spark, d):
     return pairs_1nn(spark, d).connected_components()
 
 
-@query()
+@query(f"""WITH RECURSIVE {RANK}, e AS (SELECT s AS src, t AS dst FROM r WHERE k = 1), h(s, t) AS (SELECT id, id FROM p UNION SELECT h.s, e.dst FROM h JOIN e ON e.src = h.t),
+m AS (SELECT a.s AS id, min(a.t) AS root FROM h a JOIN h b ON b.s = a.t AND b.t = a.s GROUP BY 1) SELECT id, (dense_rank() OVER (ORDER BY root) - 1)::BIGINT AS component, root FROM m""")
 def strong_components(spark, d):
     return analysis.connected_components(knn(spark, d, 1), connection="strong")
 
@@ -684,7 +687,11 @@ def layout_spring(spark, d):
 # -- labels --------------------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"""WITH RECURSIVE {RANK}, b AS (SELECT s, t FROM r WHERE k <= 5 UNION SELECT t, s FROM r WHERE k <= 5),
+o AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM p), l AS (SELECT x.i, list(y.i) AS near FROM b JOIN o x ON x.id = b.s JOIN o y ON y.id = b.t WHERE y.i < x.i GROUP BY x.i),
+c(i, colors) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT c.i + 1, list_append(colors, (SELECT min(q) FROM range(1, len(colors) + 2) g(q)
+WHERE NOT list_contains(list_transform(coalesce(l.near, []), lambda j: colors[j]), q))) FROM c JOIN o ON o.i = c.i + 1 LEFT JOIN l ON l.i = o.i)
+SELECT id, colors[o.i]::INTEGER AS color FROM o, c WHERE c.i = (SELECT count(*) FROM p)""")
 def color_greedy(spark, d):
     return knn(spark, d).symmetrize("max").color_greedy()
 
