@@ -25,7 +25,7 @@ def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
     Messages are ordered by turn (null last), then role and text, so ties and repeated rows have a defined place; repeated
     rows are messages of their own. A null role is the speaker ``unknown``; a null text is empty; a null conversation
     id is one conversation. ``system`` messages belong to every rendering but aren't a participant: a dialogue of nothing else has
-    no rendering. Other columns are ignored.
+    no rendering. Other columns are ignored. The result has as many rows as messages times participants, by its meaning.
     """
     rows = turns.select(
         F.col(conv_col).alias("conv_id"),
