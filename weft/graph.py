@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions.metrics import distance, pairwise
-from weft.plans.tables import materialize
+from weft.plans.tables import materialize, sums_before
 
 #: Adapters that bring a graph to the driver refuse more edges than this.
 LOCAL_EDGES = 5_000_000
@@ -206,16 +206,10 @@ class Graph:
     def _positioned(self) -> DataFrame:
         """Edges with ``position`` by (src, dst): places within each source, after the edges of the sources before it, which are
         summed in ranges, so no task sees all edges."""
-        span = 4096
-        per = self.edges.groupBy("src").agg(F.count("*").alias("c")).withColumn("_r", F.floor(F.col("src") / span))
-        ranges = per.groupBy("_r").agg(F.sum("c").alias("t"))
-        ahead = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-        ranges = ranges.select("_r", F.coalesce(F.sum("t").over(ahead), F.lit(0)).alias("_t"))
-        inside = Window.partitionBy("_r").orderBy("src").rowsBetween(Window.unboundedPreceding, -1)
-        before = per.join(ranges, "_r").select("src", (F.col("_t") + F.coalesce(F.sum("c").over(inside), F.lit(0))).alias("_b"))
+        per = self.edges.groupBy("src").agg(F.count("*").alias("c"))
         own = Window.partitionBy("src").orderBy("dst")
         placed = self.edges.withColumn("_i", F.row_number().over(own) - 1)
-        return placed.join(before, "src").select("src", "dst", "weight", (F.col("_b") + F.col("_i")).cast("long").alias("position"))
+        return placed.join(sums_before(per, "src", "c", "_b").select("src", "_b"), "src").select("src", "dst", "weight", (F.col("_b") + F.col("_i")).cast("long").alias("position"))
 
     def reweight_by_distance(self, points: DataFrame, metric="l2") -> Graph:
         """Each edge weighs the distance of its ends: ``points`` are ``id, x``, or ``i, j, d`` with ``metric="precomputed"``. A
@@ -290,13 +284,9 @@ class Graph:
         return out
 
 
-def numbered(ids: DataFrame, span: int = 1 << 16) -> DataFrame:
-    """``id, new``: numbers from 0 by id. Counted in ranges of ids, so that no task sees all of them."""
-    own = ids.withColumn("_r", F.floor(F.col("id") / span))
-    ahead = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    before = own.groupBy("_r").agg(F.count("*").alias("c")).select("_r", F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("_b"))
-    inside = Window.partitionBy("_r").orderBy("id")
-    return own.withColumn("_i", F.row_number().over(inside) - 1).join(before, "_r").select("id", (F.col("_b") + F.col("_i")).cast("long").alias("new"))
+def numbered(ids: DataFrame) -> DataFrame:
+    """``id, new``: numbers from 0 by id, counted in ranges of ids."""
+    return sums_before(ids.select("id", F.lit(1).alias("_one")), "id", "_one", "new").select("id", "new")
 
 
 def _row_metric(metric):

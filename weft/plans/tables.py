@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a counted side of a join is broadcast (about 16 bytes each where this is used).
@@ -57,3 +57,17 @@ def looked_up(rows: DataFrame, keys: DataFrame, on: str, n_keys: int, *, how: st
     spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != on]), F.lit(salts)))
     copies = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return spread.join(copies, [on, "_salt"], how).drop("_salt")
+
+
+def sums_before(rows: DataFrame, key: str, value: str, name: str, *, span: int = 1 << 16) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over all rows with a smaller integer ``key``, each key being there once.
+
+    Summed within ranges of ``span`` keys and over the ranges before, so the only task that sees more than a range sees one number
+    for each range.
+    """
+    own = rows.withColumn("_range", F.floor(F.col(key) / span))
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = own.groupBy("_range").agg(F.sum(value).alias("_t")).select("_range", F.coalesce(F.sum("_t").over(ahead), F.lit(0)).alias("_t"))
+    inside = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    total = F.col("_t") + F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return own.join(ranges, "_range").withColumn(name, total.cast("long")).drop("_range", "_t")
