@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDER = 4
-#: Bound of the sample that the models are fitted on: characters for each language, and languages.
-SAMPLE_CHARS = 1_500_000
+#: Bound of the sample that the models are fitted on: characters for each language and in all, and languages.
+SAMPLE_CHARS, TOTAL_CHARS = 1_500_000, 8_000_000
 MAX_LANGUAGES = 400
 #: One of so many sampled texts calibrates the rejection in place of the fit.
 CALIBRATE = 5
@@ -32,7 +32,8 @@ QUANTILE, MARGIN, SHORT = 0.99, 0.9, 4.0
 #: Nats a character to log-odds, for the score.
 SHARPNESS = 12.0
 UNKNOWN = "und"
-CACHE_WORDS = 300_000
+#: Scores that a worker remembers: words times languages.
+CACHE_SCORES = 600_000
 #: Longer runs of letters (no spaces between words) are scored each time, without a place in the memory.
 LONG_WORD = 64
 
@@ -114,7 +115,7 @@ class Model:
         for lo in range(0, len(texts), 200):
             block = texts[lo : lo + 200]
             new = {w for ws in block for w in ws if w not in self.cache}
-            if self.scores is None or len(self.cache) + len(new) > CACHE_WORDS:
+            if self.scores is None or len(self.cache) + len(new) > CACHE_SCORES // len(self.langs):
                 self.cache, new = {}, {w for ws in block for w in ws}
                 self.scores = np.zeros((0, len(self.langs)))
             if new:
@@ -221,8 +222,8 @@ def _with_default(counts: list[dict[int, float]]) -> tuple[np.ndarray, np.ndarra
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS) -> Model:
     """Fit the models on labelled texts of ``docs`` that are not held out.
 
-    The sample is whole texts, by a hash of the id, about ``sample_chars`` characters for each language: what reaches the
-    driver doesn't grow with the table. Null texts and labels are left out. Texts longer than a fiftieth of the bound aren't
+    The sample is whole texts, by a hash of the id, about ``sample_chars`` characters for each language and ``TOTAL_CHARS`` in
+    all: what reaches the driver doesn't grow with the table. Null texts and labels are left out. Texts longer than a fiftieth of the bound aren't
     sampled, so one text can't exceed it.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -230,6 +231,7 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum(F.length("text").cast("long"))).orderBy("lang").limit(MAX_LANGUAGES).collect()}
     if not sizes:
         return fit_model({})
+    sample_chars = min(sample_chars, TOTAL_CHARS // len(sizes))
     share = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, min(1.0, sample_chars / max(n, 1)))])
     picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * float(1 << 30))
     samples: dict[str, list[str]] = {}
