@@ -71,7 +71,7 @@ def remove_shared_lines(
     own = own.select("_id", "_h", line_key(F.col("line")).alias("key")).where("key IS NOT NULL")
     hit = looked_up(own, keys, "key", keys.count(), salts=SALTS).groupBy("_id", "_h").agg(F.collect_set("key").alias("_keys"))
     # The row travels as one value, so its columns' names can't clash with those used here.
-    tagged = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("t"))
+    tagged = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
     both = tagged.join(hit, tagged["id"].eqNullSafe(hit["_id"]) & (tagged["h"] == hit["_h"]), "left")
 
     def length(x: Column) -> Column:
@@ -81,10 +81,11 @@ def remove_shared_lines(
         kept = F.filter(lines, lambda l: ~F.coalesce(F.array_contains(F.col("_keys"), line_key(l)), F.lit(False)))
         return let(kept, lambda k: F.when(length(lines) - length(k) > copy_share * length(lines), lines).otherwise(k))
 
-    kept = F.when(F.col("_keys").isNotNull(), let(lines_of(F.col("t")), cleaned))
-    n = F.when(F.col("t").isNull(), 0).otherwise(F.regexp_count("t", F.lit("\n")) + 1).cast("long")
-    out = both.select("row", "t", kept.alias("kept"), n.alias("n"))
+    own_text = F.col(f"row.`{text_col}`").cast("string")
+    kept = F.when(F.col("_keys").isNotNull(), let(lines_of(own_text), cleaned))
+    n = F.when(own_text.isNull(), 0).otherwise(F.regexp_count(own_text, F.lit("\n")) + 1).cast("long")
+    out = both.select("row", kept.alias("kept"), n.alias("n"))
     gone = F.when(F.col("kept").isNull(), 0).otherwise(F.col("n") - F.size("kept")).cast("long")
-    out = out.select("row", "t", "kept", "n", gone.alias("gone"))
-    text = F.when(F.col("gone") > 0, F.array_join("kept", "\n")).otherwise(F.col("t"))
+    out = out.select("row", "kept", "n", gone.alias("gone"))
+    text = F.when(F.col("gone") > 0, F.array_join("kept", "\n")).otherwise(own_text)
     return out.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("n").alias("_n_lines"), F.col("gone").alias("_n_removed"))
