@@ -29,7 +29,9 @@ def stacked(column: pa.ChunkedArray) -> np.ndarray:
 
 def blocked(query: DataFrame, targets: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str, *, block: int = BLOCK) -> DataFrame:
     """``kernel`` over each pair of a block of ``query`` and one of ``targets``, a group of its own; both need a column ``id``."""
-    nq, nt = max(1, math.ceil(query.count() / block)), max(1, math.ceil(targets.count() / block))
+    n = query.count()
+    nq, nt = max(1, math.ceil(n / block)), max(1, math.ceil(targets.count() / block))
+    nq = max(nq, min(query.sparkSession.sparkContext.defaultParallelism, n // 256))  # few points still keep all cores busy
     several = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = query.withColumn("_q", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")).withColumn("_t", several(nt))
     right = targets.withColumn("_t", F.pmod(F.xxhash64("id"), F.lit(nt)).cast("int")).withColumn("_q", several(nq))
