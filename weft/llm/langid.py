@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import take_memory, text_batches
+
 ORDER = 4
 #: Bound of the sample that the models are fitted on: characters for each language and in all, and languages.
 SAMPLE_CHARS, TOTAL_CHARS = 1_500_000, 8_000_000
@@ -86,6 +88,9 @@ class Model:
     cache: dict[str, int] = field(default_factory=dict)
     scores: np.ndarray | None = None
 
+    def forget(self) -> None:
+        self.cache, self.scores = {}, None
+
     def __getstate__(self) -> dict:
         return self.__dict__ | {"cache": {}, "scores": None}
 
@@ -206,7 +211,7 @@ def fit_model(samples: dict[str, list[str]], order: int = ORDER) -> Model:
         texts = [ws for i, t in enumerate(samples[g]) if (i % CALIBRATE == 0 or len(samples[g]) < CALIBRATE) and len(ws := words_of(t)) > 0]
         if texts:
             model.limits[j] = np.nanquantile(model.score_texts(texts)[:, j], QUANTILE) + MARGIN
-    model.cache, model.scores = {}, None
+    model.forget()
     return model
 
 
@@ -249,6 +254,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def worker(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory("langid", shared.value.forget)
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
@@ -258,7 +264,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                 arrays = [part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    own = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(worker, SCHEMA)
 
 
@@ -269,9 +275,10 @@ def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") ->
     at = docs.columns.index(text_col)
 
     def worker(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory("langid", shared.value.forget)
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
                 yield part.filter(pa.array([not rejected for *_, rejected in shared.value.predict_all(part.column(at).to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(worker, docs.schema)
+    return text_batches(docs).mapInArrow(worker, docs.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from weft.plans.components import connected_components
 
-from .common import discard, looked_up, materialize
+from .common import discard, looked_up, materialize, take_memory, text_batches
 
 SIMILARITY = 80
 BANDS, ROWS = 28, 4
@@ -97,6 +97,7 @@ def fewest(n: int, similarity: int = SIMILARITY, miss: float = MISS) -> int:
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
     def worker(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory("minhash", _words.clear)
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
@@ -139,6 +140,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, si
     """
 
     def worker(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory("minhash", _words.clear)
         at, held = None, None
         for batch in batches:
             out_a, out_b = [], []
@@ -248,6 +250,7 @@ def _apart(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFra
     slots = 1 << 17
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory("minhash", _words.clear)
         for b in batches:
             found = [(k, s) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if len(s := shingle_set(t, size)) and set_key(s) == k]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], ["node", "tokens"])
@@ -305,7 +308,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: int = SIMILAR
     come back. A null id can't name a component: such rows are linked with nothing, kept, and their component is null. An empty table
     gives no rows; other columns are ignored. A pair at the threshold shares no bucket with a probability of 4e-7.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col).cast("string"), "utf-8").alias("text"))
+    docs = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col).cast("string"), "utf-8").alias("text"))
     signed = materialize(_signed(docs, size), "signatures")
     own = signed.where("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = materialize(own.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")

@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import take_memory, text_batches
+
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -154,6 +156,7 @@ def pack(
     """
 
     def worker(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory("packing", encoder.cache_clear)
         encode, tail = encoder(tokenizer), end_id.to_bytes(4, "little")
         packer = HarmonicPacker(TaskContext.get().partitionId() << 33, capacity)
 
@@ -173,4 +176,4 @@ def pack(
         if rows:
             yield batch(rows)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(worker, SCHEMA)
+    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(worker, SCHEMA)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, text_batches
 
 #: Bound of the sample of candidates that the span classifier is trained on.
 SAMPLE_CANDIDATES = 20_000
@@ -237,7 +237,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE_CANDI
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["v", "n", "h", "f"])
 
-    seen = materialize(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(worker, "v string, n long, h long, f array<double>"), "pii-votes")
+    seen = materialize(text_batches(docs).select(F.col(text_col).cast("string").alias("text")).mapInArrow(worker, "v string, n long, h long, f array<double>"), "pii-votes")
     patterns = {tuple(map(int, r[0].split(","))): r[1] for r in seen.groupBy("v").agg(F.sum("n")).collect()}
     by_hash = Window.partitionBy("v").orderBy("h", "f")
     rows = seen.select("v", "h", "f").withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= each).select("v", "h", "f").collect()
@@ -282,5 +282,5 @@ def find(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_c
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(worker, SCHEMA)

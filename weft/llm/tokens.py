@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import take_memory, text_batches
+
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 #: Merged pre-tokens that a worker remembers, besides the proven ones.
@@ -97,6 +99,7 @@ def count_tokens(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_co
     """
 
     def worker(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory("tokens", counter.cache_clear)
         count = counter(model)
         for b in batches:
             texts = [x.as_py() or "" for x in b.column(1)]
@@ -112,4 +115,4 @@ def count_tokens(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_co
                 ["doc_id", "n_bytes", "n_tokens", "over_limit", "n_merged"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(worker, SCHEMA)
+    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(worker, SCHEMA)
