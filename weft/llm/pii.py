@@ -103,7 +103,8 @@ _CANDIDATE = re.compile(
     r"|(?P<number>\b[0-9]{2,4}(?:[ -][0-9]{2,6}){1,4}\b)"
     r"|(?P<handle>(?<!\S)@[A-Za-z0-9_]{3,30}\b)"
 )
-_MAYBE = re.compile(r"[0-9][ -][0-9]|[0-9A-Fa-f]{6}|[=:@]")
+#: A cheap test before the pattern: whatever ``_CANDIDATE`` matches holds one of these.
+_MAYBE = re.compile(r"[0-9][ -][0-9]|[0-9a-f]{16}|[A-Z][A-Z0-9]{11}|[=:@]")
 _ALNUM = re.compile(r"[A-Za-z0-9]")
 # Gazetteers of the words that name a secret or a person's number, and of those that name something else.
 _SECRET_WORDS = frozenset("password passwd pwd token secret apikey api_key access_key auth bearer credential pin passcode clave passwort kennwort".split())
