@@ -102,6 +102,19 @@ def test_line_dedup_without_broadcast(spark, docs, monkeypatch):
     assert want[0][1] == "own line 0 is long enough"
 
 
+def test_line_dedup_stage_keeps_only_copies_whole(spark, docs):
+    import corpus_pipeline
+
+    licence, terms = "Licensed under the GPL, version 3 or any later one.", "All rights reserved by the owners of this page."
+    copy = f"{licence}\n \n{terms}"
+    rows = [(i, copy, f"s{i}") for i in range(8)]  # shown to be copies: whole
+    rows += [(100, f"{terms}\n{licence}\nown", "t0"), (101, f"{terms}\n{licence}", "t1"), (102, f"a longer text of its own, of which less than that is shared\n{licence}", "t2")]
+    rows += [(103, f"{licence}\nmine", "t3"), (104, f"{licence}\nmine", "t4"), (None, f"{licence}\nno id", "t5"), (106, None, "t6"), (107, None, "t7")]
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.dedup_lines(spark, docs(rows), "").collect())
+    gone = {100: "own", 101: "", 102: rows[10][1].split("\n")[0], 103: "mine", 104: "mine", None: "no id"}
+    assert got == Counter((i, gone.get(i, t)) for i, t, _ in rows)
+
+
 def _held(docs_rows, items):
     """Brute force: every window of every item's length."""
 
