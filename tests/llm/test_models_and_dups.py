@@ -157,6 +157,27 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert kept == {d for d, (_, _, k) in _components(rows, 4).items() if k}
 
 
+def test_keep_first_tells_rows_apart_by_id_and_text(spark, docs):
+    rng = random.Random(7)
+    text = lambda: _text(rng, "abcdefgh", 60)
+    a, b, c, d, e = (text() for _ in range(5))
+    near = f"{a} end"
+    rows = [(1, a), (5, near), (5, b)]  # one id, two texts: the near-copy goes, the other stays
+    rows += [(7, c, "s1"), (7, c, "s1"), (7, c, "s0"), (8, c)]  # repeated rows: one stays
+    rows += [(9, ""), (9, ""), (9, None), (9, None), (10, "")]  # without words: one of each id and text
+    rows += [(11, d), (11, f"{d} end")]  # near-copies under one id: one stays
+    rows += [(None, e), (None, e), (None, a)]  # null ids: all stay
+    table = docs(rows)
+    out = minhash.keep_first(table)
+    assert out.dtypes == table.dtypes
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    mine = [x for x in got if x[0] == 11]
+    assert len(mine) == 1 and mine[0][1] in (d, f"{d} end")
+    want = [(1, a), (5, b), (7, c), (9, ""), (9, None), (10, ""), (None, e), (None, e), (None, a)]
+    assert [x for x in got if x[0] != 11] == sorted(want, key=repr)
+    assert [r.source for r in out.where("doc_id = 7").collect()] == ["s0"]
+
+
 def test_fewest_is_the_posterior():
     rng = np.random.default_rng(0)
     for n in (16, 64, 112):

@@ -107,9 +107,11 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                     n.append(len(s))
                     keys.append(set_key(s) if len(s) else None)
                     sigs.append(signature(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "node", "sig"])
+                made = [part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary()), *part.columns[2:]]
+                yield pa.RecordBatch.from_arrays(made, ["doc_id", "n_shingles", "node", "sig", *extra])
 
-    return docs.mapInArrow(worker, "doc_id long, n_shingles long, node long, sig binary")
+    extra = docs.columns[2:]
+    return docs.mapInArrow(worker, ", ".join(["doc_id long, n_shingles long, node long, sig binary", *(f"{c} long" for c in extra)]))
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
@@ -300,15 +302,13 @@ def _apart(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFra
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every document.
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col).cast("string"), "utf-8").alias("text"))
 
-    Documents are linked where ``100 * shared >= similarity * total`` holds for their sets; ``component_id`` is the smallest id
-    that links lead to. Documents without words are linked with nothing. Rows with one id and text count once for links but all
-    come back. A null id can't name a component: such rows are linked with nothing, kept, and their component is null. An empty table
-    gives no rows; other columns are ignored. A pair at the threshold shares no bucket with a probability of 4e-7.
-    """
-    docs = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col).cast("string"), "utf-8").alias("text"))
+
+def _grouped(docs: DataFrame, size: int, similarity: int) -> DataFrame:
+    """``doc_id, n_shingles, node, root, component_id`` and further columns of integers for every row of ``doc_id, text, ...``: a component is
+    its ``root``, as an id with several texts may name several. Without links ``root`` is null, and without copies ``component_id`` too."""
     signed = materialize(_signed(docs, size), "signatures")
     own = signed.where("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = materialize(own.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
@@ -346,16 +346,50 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: int = SIMILAR
     named = looked_up(nodes.select("node", "rep", "copies"), roots.withColumnRenamed("id", "node"), "node", n, how="left")
     smallest = named.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("component_id"))
     named = looked_up(named, smallest, "root", n, how="left").where("root IS NOT NULL OR copies > 1")
-    named = materialize(named.select("node", F.coalesce("component_id", "rep").alias("component_id")), "components")
-    out = looked_up(signed.select("doc_id", "n_shingles", "node"), named, "node", named.count(), how="left")
+    named = materialize(named.select("node", "root", F.coalesce("component_id", "rep").alias("component_id")), "components")
+    return looked_up(signed.drop("sig"), named, "node", named.count(), how="left")
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every document.
+
+    Documents are linked where ``100 * shared >= similarity * total`` holds for their sets; ``component_id`` is the smallest id
+    that links lead to. Documents without words are linked with nothing. Rows with one id and text count once for links but all
+    come back. A null id can't name a component: such rows are linked with nothing, kept, and their component is null. An empty table
+    gives no rows; other columns are ignored. A pair at the threshold shares no bucket with a probability of 4e-7.
+    """
+    out = _grouped(_texts(docs, id_col, text_col), size, similarity)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_first(docs: DataFrame, *, size: int = 5, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: the one with the smallest id."""
-    found = near_duplicates(docs, size=size, similarity=similarity, id_col=id_col, text_col=text_col)
-    gone = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
-    gone = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    """``docs`` with one row of each group of near-duplicates: the one with the smallest id.
+
+    Rows are told apart by id and text. An id with several texts may be in several groups, and each text is judged by its own; where a
+    group has several texts under its smallest id, the one with the smallest hash stays. Of repeated rows (one id and text) one stays,
+    without words too, and whatever the other columns: the one that sorts first as JSON. Rows with a null id are in no group and all stay,
+    exact copies included. Texts are compared by 64-bit hashes.
+    """
+    rows = _grouped(_texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text")), size, similarity).where("doc_id IS NOT NULL")
+    rows = rows.groupBy("doc_id", "h").agg(F.first(F.coalesce("root", "node")).alias("root"), F.count("*").alias("m"))
+    rows = materialize(rows, "texts-of-ids")
+    first = rows.where("root IS NOT NULL").groupBy("root").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "h")).alias("first")).where("k > 1")
+    first = materialize(first.select("root", "first"), "first")
+    rest = looked_up(rows, first, "root", first.count()).where(F.struct("doc_id", "h") != F.col("first"))
+    gone = materialize(rest.select(F.col("doc_id").alias("_gone"), F.col("h").alias("_hash")), "duplicates")
+    again = materialize(rows.where("m > 1").select(F.col("doc_id").alias("_gone"), F.col("h").alias("_hash")), "repeated")
+    n_gone, n_again = gone.count(), again.count()
+    ids, texts = docs[id_col].cast("long"), F.xxhash64(F.encode(docs[text_col].cast("string"), "utf-8"))
+
+    def held(rows: DataFrame, keys: DataFrame, n: int, how: str) -> DataFrame:
+        keys = F.broadcast(keys) if n <= 1_000_000 else keys
+        return rows.join(keys, (ids == keys["_gone"]) & (texts == keys["_hash"]), how)
+
+    kept = held(docs, gone, n_gone, "left_anti")
+    if not n_again:
+        return kept
+    row = F.struct("*")
+    one = held(kept, again, n_again, "left_semi").groupBy(ids.alias("_id"), texts.alias("_h")).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return held(kept, again, n_again, "left_anti").unionByName(one.select("row.*"))
