@@ -1,13 +1,16 @@
 """Language models, page extraction, near-duplicates and the pipeline."""
 
 import random
+import re
 import string
-from collections import defaultdict
+import time
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from weft.llm import html_text, langid, minhash
+from weft.llm import html_labels, html_text, langid, minhash
 from weft.plans.components import connected_components
 
 
@@ -69,18 +72,57 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
         (PAGE % "<article><h1>A  &amp;\n B</h1><p>One <b>two</b><br>three<p>four&nbsp;x &#233;</article>", "A & B\nOne two\nthree\nfour x é"),
         (PAGE % "<article><header><h1>Title</h1></header><p>Some words of the text.</p><aside>No</aside><form>No<input></form></article>", "Title\nSome words of the text."),
         (PAGE % '<article><p>Some words of the text.</p><div class="comments"><p>First!</p></div></article>', "Some words of the text."),
-        (PAGE % '<article><p>Broken off here', "Broken off here © me"),
+        (PAGE % "<article><p>Broken off here", "Broken off here"),
         ("<article><p>a < b and c</p><!-- no --><p>d</p></article>", "a < b and c\nd"),
         ("<body><div id=main><p>" + "word " * 50 + "</p></div></body>", ("word " * 50).strip()),
         ("just text, no tags at all", "just text, no tags at all"),
+        (PAGE % ("<p>" + "word " * 30 + "</p><ul><li>one two</li><li>three</li></ul><p>" + "word " * 20 + "</p>"), "\n".join([("word " * 30).strip(), "one two", "three", ("word " * 20).strip()])),
+        (PAGE % ("<p>" + "word " * 30 + "</p><table><tr><td>a</td><td>b</td></tr></table><p>" + "word " * 20 + "</p>"), "\n".join([("word " * 30).strip(), "a", "b", ("word " * 20).strip()])),
+        (PAGE % '<article><p class="share-price">The price of a share fell.</p><p class="related-work">Others wrote of it before.</p></article>', "The price of a share fell.\nOthers wrote of it before."),
+        (PAGE % "<article><p>Some words of the text.</p><label>A side note of it</label><p>More words of the text.</p></article>", "Some words of the text.\nA side note of it\nMore words of the text."),
     ],
 )
 def test_extract(page, text):
-    got = html_text.extract(page)
-    if "Broken off" in text:
-        assert got.startswith("Broken off here")
-    else:
-        assert got == text
+    assert html_text.extract(page) == text
+
+
+def _plain_extract(page, by):
+    """Every run is tried; blocks are scored one by one from sets of features."""
+    items = list(html_text.read(page, html_text._Features()))
+    block = lambda x: isinstance(x, html_text.Block)
+    weight = [max(-html_text.LARGEST, min(html_text.LARGEST, by.bias + sum(by.words.get(f, 0) for f in {*x.around, *x.own}))) if block(x) else 0 for x in items]
+    score = [x.n * w if block(x) else by.tags.get(x, min(by.tags.values()) / 2) for x, w in zip(items, weight, strict=True)]
+    best = max(((sum(score[i:j]), -i, j) for i in range(len(items)) for j in range(i + 1, len(items) + 1)), default=(0, 0, 0))
+    if best[0] <= 0:
+        return ""
+    own = range(-best[1], best[2])
+    good = [i for i in own if weight[i] > 0]
+    kept = [items[i].text for i in own if block(items[i]) and not (good[0] < i < good[-1] and weight[i] < html_text.CUT)]
+    return "\n".join(filter(None, (" ".join(line.split()) for t in kept for line in t.split("\n"))))
+
+
+def test_extraction_equals_brute_force():
+    by = html_text.model()
+    for page in html_labels.labelled_pages(60, seed=5):
+        page = page.replace(html_labels.MARK, "")
+        assert html_text.extract(page, by).split() == _plain_extract(page, by).split()
+
+
+@pytest.mark.parametrize("element", [True, False])
+def test_extraction_of_held_out_labelled_pages(element):
+    hit = got = want = 0
+    for page in html_labels.labelled_pages(300, seed=7, element=element):
+        marked = Counter(re.findall(html_labels.MARK + r"([^\s<]+)", page))
+        found = Counter(html_text.extract(page.replace(html_labels.MARK, "")).split())
+        hit, got, want = hit + sum((marked & found).values()), got + sum(found.values()), want + sum(marked.values())
+    assert 2 * hit / (got + want) > 0.97
+
+
+def test_extraction_is_linear():
+    for part in ("<article>", '<article class="a"><p>x y z</article>', "<iframe><p", "<b></i></p>", "<title>", '<p "'):
+        start = time.monotonic()
+        html_text.extract(part * 20_000)
+        assert time.monotonic() - start < 10
 
 
 def test_best_run_equals_brute_force():
@@ -94,7 +136,9 @@ def test_best_run_equals_brute_force():
 
 def test_pages(spark):
     rows = [(1, "u", PAGE % "<article><p>Hello there.</p></article>"), (2, None, None), (None, "v", "x" * 200_000), (1, "u", "<p>again and again</p>")]
-    got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))
+    assert html_text.extract_pages(table.limit(0)).count() == 0
+    got = html_text.extract_pages(table).collect()
     assert sorted((r.n_chars for r in got)) == [0, 12, 15, 200_000] and all(r.n_chars == len(r.text) for r in got)
 
 

@@ -1,9 +1,10 @@
-"""Main text of web pages by a maximum-scoring run of tokens.
+"""Main text of web pages by a maximum-scoring run of words and tags.
 
-A page is one sequence of words and tags. Words score positive, tags negative, with weights learned from labelled pages (the log
-odds that a token of its kind lies in the article); a linear scan finds the run with the highest sum, which is the content
-region. It is widened to the article or main element that it lies in, or else to whole blocks. Inside it, elements that hold no prose of the article (menus, forms, notices, comments and the like) are left out, and
-what is left is put together block by block.
+A page is one sequence of tags and words. Tags score negative, by their name. Words score what a linear model says of where they
+stand: the elements around them with their classes, and the length, links and punctuation of their block; in running text that
+is positive, in what looks like a menu, form, notice or comment it is negative. All weights are fitted on labelled pages (``html_labels``,
+at most ``html_labels.PAGES``). A linear scan finds the run with the highest sum, which is the content region. Between its first and
+last content, blocks whose words score clearly negative are left out (an advert or form between two paragraphs); the ends are the scan's alone.
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_batches
+from .html_labels import MARK, labelled_pages
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
@@ -27,59 +31,37 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 RAW = frozenset("script style textarea title noscript template iframe svg math object canvas xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot "
     "th thead title tr ul".split()
 )
-BOILERPLATE = frozenset("nav header footer aside form button select menu dialog head label fieldset".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Words of class, id or role attributes that name what isn't the article.
-ROLES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie "
-    "cookies consent disqus disclaimer footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices "
-    "pager pagination popup promo promoted related respond replies search share sharing sidebar social sponsor sponsored subscribe "
-    "toolbar widget".split()
-)
 # What a p element ends with.
-_ENDS_P = BLOCKS - {"br", "body", "html", "head", "option", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "dd", "dt", "li", "legend", "summary", "title"}
+_ENDS_P = BLOCKS - {"br", "body", "button", "html", "head", "option", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "dd", "dt", "li", "legend", "summary", "title"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
-_PART = re.compile(r"[A-Za-z]+")
-
-#: Weights stay within these, so that no single kind of tag outweighs a paragraph by much more than labelled pages say.
-LARGEST = 12.0
-
-#: Labelled pages for the weights, as (token, tokens of this kind in articles, elsewhere), counted by ``count_labels`` over
-#: ``LABELLED``: (page before the article, article, page after it).
-LABELLED = [
-    (
-        '<html><head><title>A walk</title></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/b">Books</a></li></ul></nav>',
-        "<article><h1>A walk by the river</h1><p>We set out early and the mist was still on the water when we came to the old bridge.</p>"
-        "<p>Nobody had told us that the path was closed, so we went on along the bank for another hour.</p></article>",
-        '<footer><p>Copyright the authors</p><a href="/legal">Legal</a></footer></body></html>',
-    ),
-    (
-        '<html><body><header><div>The Daily</div><div><a href="/n">News</a> <a href="/s">Sport</a></div></header><div class="ad">Buy now.</div>',
-        "<main><h1>Council agrees on budget</h1><p>The council agreed on Tuesday to spend more on roads and less on signs, "
-        "after a debate that lasted well into the night.</p><h2>What comes next</h2><p>Work on the first of the roads begins in "
-        "<b>spring</b>, and should be over by the end of the year.</p></main>",
-        '<aside><ul><li><a href="/1">Most read</a></li><li><a href="/2">Weather</a></li></ul></aside><form><input><button>Go</button></form></body></html>',
-    ),
-    (
-        '<html><body><div class="menu"><a href="/">Start</a> <a href="/r">Recipes</a></div><div class="notice">We use cookies.</div>',
-        "<div><h1>Bread without kneading</h1><p>Stir flour, water, salt and a little yeast, cover the bowl and leave it until the next "
-        "day.</p><p>Bake it in a hot pot with a lid for half an hour, then without the lid until it is brown.</p></div>",
-        '<div class="comments"><h3>Comments</h3><ul><li>Nice!</li><li>Mine was flat.</li></ul></div><footer>All rights reserved</footer></body></html>',
-    ),
-]
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_ENDED = re.compile(r"[.!?:;…。！？][\"'”’»)]*\s*$")
+
+#: Weight of the squared weights against the labelled words, and bound of a word's score.
+RIDGE, LARGEST = 1.0, 6.0
+#: Words that score less than this between content are left out.
+CUT = -1.0
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, text) in page order: kind is open, close or text; what raw elements hold, comments and declarations are left
     out. Where a page breaks off within a tag, so does the tag; a lone ``<`` is text."""
     at, raw = 0, ""
+    ends: dict[str, int] = {}  # where the next end tag of a raw element is, as far as looked for
+
+    def has_end(name: str) -> bool:
+        if ends.get(name, -1) < at:
+            m = re.compile(rf"</{name}", re.I).search(page, at)
+            ends[name] = m.start() if m else len(page) + 1
+        return ends[name] <= len(page)
+
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
@@ -98,45 +80,184 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
                 yield "open", name, m[3]
                 if name in RAW and not m[3].endswith("/"):
                     # an element that is never closed holds the rest of the page, unless it is one whose end is often left out
-                    raw = name if re.compile(rf"</{name}", re.I).search(page, at) or name in ("script", "style", "textarea") else ""
+                    raw = name if name in ("script", "style", "textarea") or has_end(name) else ""
         elif m[0] == "<":
             yield "text", "", "<"
     if not raw and at < len(page):
         yield "text", "", page[at:]
 
 
-def is_boilerplate(name: str, attributes: str) -> bool:
-    """Whether an element's name or its class, id or role says that it isn't part of the article."""
-    if name in BOILERPLATE:
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
+@functools.lru_cache(maxsize=4096)
+def element_features(name: str, attributes: str) -> tuple[str, ...]:
+    """What the model knows of an element: its name, each word of its class, id and role, and the letters in them."""
+    out = {"<" + name}
     for m in _ATTRIBUTE.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        if m[1].lower() == "hidden" or m[1].lower() == "aria-hidden" and value.lower() == "true":
-            return True
-        if ROLES & set(map(str.lower, _PART.findall(value))):
-            return True
-    return False
+        value, which = m[2] or m[3] or m[4] or "", m[1].lower()
+        if which == "hidden" or which == "aria-hidden" and value.lower() == "true":
+            out.add("hidden")
+        elif which in ("class", "id", "role"):
+            for word in value.split():
+                out.add("." + word.lower())
+                out.update("~" + p.lower() for p in _PART.findall(word))
+    return tuple(sorted(out))
 
 
-@functools.lru_cache(maxsize=1)
-def weights() -> tuple[float, dict[str, float]]:
-    """(weight of a word, weight of each tag): log odds of lying in the article, from ``LABELLED``, add-one smoothed; the tags'
-    are shifted so that the best is still negative."""
+class Block(NamedTuple):
+    """Text between two block tags, in lines that ``br`` parts."""
+
+    around: object  # what the elements around it come to
+    own: tuple[str, ...]
+    n: int  # words
+    text: str  # as in the page, with line feeds only where br stands
+
+
+def _own_features(tag: str, n: int, linked: int, text: str) -> tuple[str, ...]:
+    size = 0 if n < 3 else 1 if n < 6 else 2 if n < 11 else 3 if n < 21 else 4 if n < 41 else 5
+    share = 0 if not linked else 1 if 3 * linked < n else 2 if 3 * linked < 2 * n else 3
+    return (f"in {tag}", f"words {size}", f"links {share}", "ended" if _ENDED.search(text[-8:]) else "open")
+
+
+class _Weights:
+    """Sum of the weights of the features that hold in the elements around, each counted once."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights, self.held, self.total = weights, Counter(), 0.0
+
+    def enter(self, features: tuple[str, ...]) -> None:
+        for f in features:
+            if f in self.weights:
+                self.held[f] += 1
+                if self.held[f] == 1:
+                    self.total += self.weights[f]
+
+    def leave(self, features: tuple[str, ...]) -> None:
+        for f in features:
+            if f in self.weights:
+                self.held[f] -= 1
+                if not self.held[f]:
+                    self.total -= self.weights[f]
+
+    def now(self) -> object:
+        return self.total
+
+
+class _Features(_Weights):
+    """The features themselves, for the fit."""
+
+    def __init__(self):
+        self.held = Counter()
+
+    def enter(self, features: tuple[str, ...]) -> None:
+        self.held.update(features)
+
+    def leave(self, features: tuple[str, ...]) -> None:
+        self.held.subtract(features)
+
+    def now(self) -> object:
+        return tuple(f for f, n in self.held.items() if n > 0)
+
+
+def read(page: str, around: _Weights) -> Iterator[str | Block]:
+    """Names of tags and blocks of text, in page order. Each element is entered and left once, so the work is linear."""
+    opened: list[tuple[str, tuple[str, ...]]] = []
+    counts: Counter[str] = Counter()
+    own: list[str] = []
+    n = linked = 0
+
+    def leave() -> str:
+        name, features = opened.pop()
+        counts[name] -= 1
+        around.leave(features)
+        return name
+
+    def flush() -> Iterator[Block]:
+        nonlocal n, linked
+        text = "".join(own)
+        own.clear()
+        if n:
+            tag = next((t for t, _ in reversed(opened[-8:]) if t in BLOCKS), "body")
+            words = max(n, len(text) // 12)  # some languages don't part words
+            yield Block(around.now(), _own_features(tag, words, linked, text), words, text)
+        n = linked = 0
+
+    for kind, name, text in tokens(page):
+        if kind == "text":
+            text = html.unescape(_SPACE.sub(" ", text))
+            own.append(_SPACE.sub(" ", text))
+            k = len(text.split())
+            n += k
+            linked += k if counts["a"] else 0
+            continue
+        if name == "br":
+            own.append("\n")
+            yield name
+            continue
+        if name in BLOCKS:
+            yield from flush()
+        if kind == "open":
+            if name in _ENDS_P and counts["p"]:
+                while opened[-1][0] != "p" and opened[-1][0] not in BLOCKS:
+                    leave()
+                if opened[-1][0] == "p":
+                    leave()
+            if name not in VOID and not text.endswith("/"):
+                features = element_features(name, text)
+                opened.append((name, features))
+                counts[name] += 1
+                around.enter(features)
+        elif counts[name]:
+            while leave() != name:
+                pass
+        yield name
+    yield from flush()
+
+
+class Model(NamedTuple):
+    bias: float
+    words: dict[str, float]
+    tags: dict[str, float]
+
+    def score(self, b: Block) -> float:
+        """Weight of each word of a block."""
+        z = self.bias + b.around + sum(self.words.get(f, 0.0) for f in b.own)
+        return max(-LARGEST, min(LARGEST, z))
+
+
+def fit(pages: list[str], ridge: float = RIDGE) -> Model:
+    """Weights from labelled pages: of words by penalised logistic regression on their blocks (each weighs up to 20 words), of tags by the log odds that
+    one of its name lies in the article, kept under zero."""
+    index: dict[str, int] = {}
+    rows, y, size = [], [], []
     inside, outside = Counter(), Counter()
-    for before, article, after in LABELLED:
-        for part, to in ((before, outside), (article, inside), (after, outside)):
-            for kind, name, text in tokens(part):
-                if kind == "text":
-                    to[""] += len(text.split())
-                else:
-                    to[name] += 1
+    for page in pages:
+        items = list(read(page, _Features()))
+        marked = [i for i, x in enumerate(items) if isinstance(x, Block) and MARK in x.text]
+        for i, x in enumerate(items):
+            if isinstance(x, Block):
+                rows.append([index.setdefault(f, len(index)) for f in (*x.around, *x.own)])
+                y.append(MARK in x.text)
+                size.append(min(x.n, 20))
+            else:
+                (inside if marked and marked[0] <= i <= marked[-1] else outside)[x] += 1
     n, m = sum(inside.values()), sum(outside.values())
     odds = {k: math.log((inside[k] + 1) / (n + 1)) - math.log((outside[k] + 1) / (m + 1)) for k in inside | outside}
-    word = max(odds.pop(""), 0.1)
-    top = max(odds.values(), default=0.0) + word
-    return word, {k: max(v - top, -LARGEST) for k, v in odds.items()}
+    x = np.zeros((len(rows), len(index) + 1))
+    x[:, -1] = 1
+    for i, own in enumerate(rows):
+        x[i, own] = 1
+    y, size = np.array(y, float), np.array(size, float)
+    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    penalty[-1] = 1e-6
+    for _ in range(12):  # Newton's method
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (size * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + np.diag(penalty)
+        w += np.linalg.solve(h, x.T @ (size * (y - p)) - penalty * w)
+    return Model(float(w[-1]), {f: float(w[i]) for f, i in index.items()}, {k: min(v, 0.0) - 0.05 for k, v in odds.items()})
+
+
+@functools.lru_cache(maxsize=1)
+def model() -> Model:
+    return fit(labelled_pages())
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -151,122 +272,36 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return found
 
 
-def extract(page: str | None) -> str:
+def extract(page: str | None, by: Model | None = None) -> str:
     """The main text: white space within a block is one space, blocks are joined by one line feed."""
     if not page:
         return ""
-    word, tags = weights()
-    default = min(tags.values())
-    kept: list[tuple[str, str]] = []  # ("", text) or (tag, "") with what boilerplate elements hold left out
-    scores: list[float] = []
-    regions: list[tuple[int, int, int]] = []  # (words, start, end) of article and main elements
-    opened: list[tuple[str, bool]] = []
-    skipped, in_content, content_at = 0, 0, 0
-    words_seen = 0
-    words_at = 0
-    for kind, name, text in tokens(page):
-        if kind == "text":
-            if not skipped:
-                n = len(text.split())
-                kept.append(("", text))
-                scores.append(word * n)
-                words_seen += n
-            continue
-        if kind == "open":
-            if name in _ENDS_P and any(t == "p" for t, _ in opened[-4:]):
-                while opened and opened[-1][0] != "p":
-                    if opened[-1][0] in BLOCKS:
-                        break
-                    opened.pop()
-                if opened and opened[-1][0] == "p":
-                    opened.pop()
-            inner_header = name == "header" and in_content
-            bad = is_boilerplate(name, text) and not inner_header
-            if name not in VOID and not text.endswith("/"):
-                opened.append((name, bad))
-                skipped += bad
-                if name in ("article", "main") and not skipped:
-                    if not in_content:
-                        content_at, words_at = len(kept), words_seen
-                    in_content += 1
-        elif any(t == name for t, _ in opened):
-            while True:
-                top, bad = opened.pop()
-                skipped -= bad
-                if top in ("article", "main") and not skipped and in_content:
-                    in_content -= 1
-                    if not in_content:
-                        regions.append((words_seen - words_at, content_at, len(kept) + 1))
-                if top == name:
-                    break
-        if not skipped:
-            kept.append((name, ""))
-            scores.append(tags.get(name, default))
-    if in_content:
-        regions.append((words_seen - words_at, content_at, len(kept)))
-    regions = [r for r in regions if r[0]]
-    spans = [(lo, hi) for _, lo, hi in regions]
-    if spans:  # where a page marks its article, nothing outside is one
-        scores = [v if any(lo <= i < hi for lo, hi in spans) else -LARGEST for i, v in enumerate(scores)]
-    start, end = best_run(scores)
-    if spans:
-        spans = [x for x in spans if x[0] < end and start < x[1]] or spans
-        start, end = spans[0][0], spans[-1][1]
-    else:
-        start, end = _whole_blocks(kept, start, end)
-        spans = [(start, end)]
-    return _assembled([x for i, x in enumerate(kept[start:end], start) if any(a <= i < b for a, b in spans)])
-
-
-def _whole_blocks(kept: list[tuple[str, str]], start: int, end: int) -> tuple[int, int]:
-    """The run widened to the blocks it begins and ends in, and to a heading right before it."""
-    if start == end:
-        return start, end
-    while start and kept[start - 1][0] not in BLOCKS:
-        start -= 1
-    while end < len(kept) and kept[end][0] not in BLOCKS:
-        end += 1
-    before = start
-    while before and not kept[before - 1][1].strip() and kept[before - 1][0] not in HEADINGS:
-        before -= 1
-    if before and kept[before - 1][0] in HEADINGS:
-        at = before - 2
-        while at >= 0 and kept[at][0] not in HEADINGS:
-            at -= 1
-        start = max(at, 0)
-    return start, end
-
-
-def _assembled(part: list[tuple[str, str]]) -> str:
-    blocks, own = [], []
-
-    def flush() -> None:
-        text = _SPACE.sub(" ", html.unescape("".join(own))).strip()
-        if text:
-            blocks.append(text)
-        own.clear()
-
-    for name, text in part:
-        if name in BLOCKS:
-            flush()
-        elif not name:
-            own.append(text)
-    flush()
-    return "\n".join(blocks)
+    by = by or model()
+    items = list(read(page, _Weights(by.words)))
+    least = min(by.tags.values())
+    weights = [by.score(x) if isinstance(x, Block) else 0.0 for x in items]
+    start, end = best_run([x.n * w if isinstance(x, Block) else by.tags.get(x, least / 2) for x, w in zip(items, weights, strict=True)])
+    content = [i for i in range(start, end) if weights[i] > 0]
+    out: list[str] = []
+    for i in range(start, end):
+        if isinstance(items[i], Block) and not (content and content[0] < i < content[-1] and weights[i] < CUT):
+            out += filter(None, (_SPACE.sub(" ", line).strip() for line in items[i].text.split("\n")))
+    return "\n".join(out)
 
 
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of every page and its number of code points; one row out per row in.
 
-    Null or empty html has an empty text. A page that breaks off counts as far as it goes. Pages of any length are read whole;
-    the scan is linear. Null ids and urls stay null; other columns are ignored.
+    Null or empty html has an empty text. A page that breaks off counts as far as it goes; one without any word that scores positive has no text. Pages of any length are
+    read whole, and reading, scoring and the scan are linear. Null ids and urls stay null, repeated rows stay; other columns are ignored, an empty table stays empty.
     """
+    by = model()  # fitted once, on the driver
 
     def worker(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                texts = [extract(x.as_py()) for x in part.column(2)]
+                texts = [extract(x.as_py(), by) for x in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     own = text_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
