@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from weft.llm import chat, decontaminate, line_dedup, packing, pii, quality, tokens
 
@@ -220,6 +221,36 @@ def test_quality_base_and_verdict(spark, docs):
     assert quality.judge(docs([])).count() == 0
 
 
+def test_quality_verdict_is_no_single_vote(spark):
+    """On the small tables: every rule votes, the verdict is the posterior of all votes, and it stands without any one of them."""
+    rows = quality.measured(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    votes = [tuple(r) for r in rows.select(*[F.expr(quality.vote_sql(r)) for r in quality.RULES]).collect()]
+    all_votes = Counter(votes)
+    share, right = quality.estimate(all_votes)
+    verdict = {v: quality.posterior(v, share, right) >= quality.THRESHOLD for v in all_votes}
+    for j in range(len(quality.RULES)):
+        assert any(v[j] > 0 for v in all_votes)
+        cut = lambda v: v[:j] + v[j + 1 :]  # noqa: E731, B023
+        rest = Counter(map(cut, votes))
+        less = quality.estimate(rest)
+        assert sum(n for v, n in all_votes.items() if (quality.posterior(cut(v), *less) >= quality.THRESHOLD) == verdict[v]) > 0.8 * len(votes)
+        lone = tuple(1 if i == j else -1 for i in range(len(quality.RULES)))
+        assert quality.posterior(lone, share, right) < 0.5 < quality.posterior(tuple(-x for x in lone), share, right)
+
+
+def test_estimate_finds_planted_accuracies():
+    import random
+
+    rng = random.Random(9)
+    right = [(0.9, 0.8), (0.95, 0.6), (0.7, 0.9), (0.85, 0.85), (0.9, 0.05)]
+    counts: Counter = Counter()
+    for _ in range(40_000):
+        good = rng.random() < 0.8
+        counts[tuple(0 if rng.random() < 0.1 else (1 if good else -1) * (1 if rng.random() < r[0 if good else 1] else -1) for r in right)] += 1
+    share, found = quality.estimate(counts, rounds=200)
+    assert abs(share - 0.8) < 0.05 and all(abs(a - b) < 0.1 for x, y in zip(right, found, strict=True) for a, b in zip(x, y, strict=True))
+
+
 def test_pii_base_equals_patterns(spark, docs):
     import random
 

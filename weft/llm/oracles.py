@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup
+from . import chat, line_dedup, quality
 
 OP1 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, source FROM documents),
@@ -47,3 +47,60 @@ SELECT conv_id, perspective, CAST(position AS BIGINT) AS position, role, CASE WH
        CAST(CASE WHEN role = 'assistant' THEN e END AS BIGINT) AS loss_end
 FROM w
 """
+
+
+def _op7() -> str:
+    rules = list(quality.RULES)
+    n, most = len(rules), quality.MOST
+    quoted = {k: v.replace("'", "''") for k, v in {"symbols": quality.SYMBOLS, "plain": quality.PLAIN, "sentence": quality.SENTENCE, "capitals": quality.CAPITALS}.items()}
+    white = r"\x20\x09-\x0D"
+    clamp = lambda x: f"least({most}, greatest(1 - {most}, {x}))"
+    prior = f"({quality.PRIOR} * total + 1)"
+    rate = lambda x, sign: clamp(
+        f"(coalesce(list_sum(list_transform(ps, lambda p: CASE WHEN p.v[j] = {sign} THEN p.{x} ELSE 0 END)), 0) + {quality.ACCURACY} * {prior})"
+        f" / (coalesce(list_sum(list_transform(ps, lambda p: CASE WHEN p.v[j] <> 0 THEN p.{x} ELSE 0 END)), 0) + {prior})"
+    )
+    log_odds = (
+        "ln(share / (1 - share)) + list_sum(list_transform(range(1, %d), lambda j: CASE %s[j] WHEN 1 THEN ln(on_good[j] / (1 - on_bad[j])) WHEN -1 THEN ln((1 - on_good[j]) / on_bad[j]) ELSE 0 END))"
+    )
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (SELECT rid, unnest(list_filter(string_split_regex(t, '[{white}]+'), lambda x: x <> '')) AS w, generate_subscripts(list_filter(string_split_regex(t, '[{white}]+'), lambda x: x <> ''), 1) AS p FROM d),
+ws AS (SELECT rid, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (WHERE regexp_matches(w, '{quoted["plain"]}')) AS n_plain FROM w GROUP BY rid),
+g AS (SELECT a.rid, a.p, a.w || ' ' || b.w || ' ' || c.w AS g FROM w a JOIN w b ON a.rid = b.rid AND b.p = a.p + 1 JOIN w c ON a.rid = c.rid AND c.p = a.p + 2),
+again AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, g) AS n FROM g) WHERE n > 1),
+rw AS (SELECT rid, count(DISTINCT p + i) AS n_repeat_words FROM again, range(0, 3) AS r(i) GROUP BY rid),
+lines AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d),
+dl AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^{white}]') GROUP BY rid),
+m AS MATERIALIZED (
+  SELECT doc_id, rid, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, coalesce(n_plain, 0) AS n_plain,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         len(regexp_extract_all(t, '{quoted["symbols"]}')) AS n_symbols, len(string_split(t, chr(10))) AS n_lines,
+         len(regexp_extract_all(t, '{quoted["capitals"]}')) AS n_upper_runs, len(regexp_extract_all(t, '{quoted["sentence"]}')) AS n_sentences,
+         length(regexp_replace(t, '[^\\p{{L}}]+', '', 'g')) AS n_letters
+  FROM d LEFT JOIN ws USING (rid) LEFT JOIN rw USING (rid) LEFT JOIN dl USING (rid)
+),
+v AS MATERIALIZED (SELECT *, [{", ".join(quality.vote_sql(r) for r in rules)}] AS v FROM m),
+pat AS MATERIALIZED (SELECT list(struct_pack(v := v, n := n) ORDER BY v) AS ps, sum(n) AS total FROM (SELECT v, count(*) AS n FROM v GROUP BY v)),
+em AS (
+  SELECT 0 AS i, CAST({quality.GOOD_SHARE} AS DOUBLE) AS share,
+         list_transform(range(1, {n + 1}), lambda j: CAST({quality.ACCURACY} AS DOUBLE)) AS on_good, list_transform(range(1, {n + 1}), lambda j: CAST({quality.ACCURACY} AS DOUBLE)) AS on_bad
+  UNION ALL
+  SELECT i + 1, (list_sum(list_transform(ps, lambda p: p.good)) + 10 * {quality.GOOD_SHARE}) / (total + 10),
+         list_transform(range(1, {n + 1}), lambda j: {rate("good", 1)}), list_transform(range(1, {n + 1}), lambda j: {rate("bad", -1)})
+  FROM (
+    SELECT i, total, list_transform(qs, lambda p: struct_pack(v := p.v, good := p.n * p.q, bad := p.n - p.n * p.q)) AS ps
+    FROM (SELECT i, total, list_transform(ps, lambda p: struct_pack(v := p.v, n := p.n, q := 1 / (1 + exp(-({log_odds % (n + 1, "p.v")}))))) AS qs FROM em, pat WHERE i < {quality.ROUNDS})
+  )
+),
+r AS (
+  SELECT v.*, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, 1 / (1 + exp(-({log_odds % (n + 1, "v.v")}))) AS q
+  FROM v, em WHERE em.i = {quality.ROUNDS}
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND q >= {quality.THRESHOLD} AS kept, round(q, 4) AS quality
+FROM r
+"""
+
+
+OP7 = _op7()

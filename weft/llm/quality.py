@@ -1,8 +1,8 @@
 """Quality rules under weak supervision.
 
 Each rule votes that a text is good or bad, or abstains. How often each combination of votes occurs is counted over all texts;
-expectation-maximisation over these counts (at most 3 ** rules of them) estimates the rules' accuracies without labels, and a text's
-posterior probability of being good replaces a filter that all rules must pass.
+expectation-maximisation over these counts (at most 3 ** rules of them) estimates without labels how often each rule is right about good
+and about bad texts, and a text's posterior probability of being good replaces a filter that all rules must pass.
 """
 
 from __future__ import annotations
@@ -17,27 +17,27 @@ from .common import let, materialize, words
 MIN_WORDS = 50
 ROUNDS = 50
 THRESHOLD = 0.5
-#: Belief before the first round: share of good texts, accuracy of a rule; the latter's weight as a share of all texts.
-GOOD_SHARE, ACCURACY, PRIOR = 0.8, 0.9, 0.01
-#: No rule is taken to be surer than this.
+#: Belief before the first round: share of good texts, and how often a rule is right; the latter's weight as a share of all texts.
+GOOD_SHARE, ACCURACY, PRIOR = 0.8, 0.8, 0.01
+#: No rule is taken to be surer than this, of good or of bad texts.
 MOST = 0.99
 
-# The characters that count as symbols.
+# The characters that count as symbols, a word of running text, and the end of a sentence before the next one.
 SYMBOLS = r"[#*$%&|<>]"
+PLAIN = r"^[\"'(]?\p{L}[\p{Ll}'-]*[.,;:!?\"')]{0,2}\z"
+SENTENCE = r"[.!?][\"')]*[\x20\x09-\x0D]+[\"'(]*\p{Lu}"
+CAPITALS = r"\p{Lu}{2,}"
 
-# Fixed value: a word of running text.
-PLAIN = r"^[\"'(]?\p{L}[\p{Ll}'-]*[.,;:!?\"')]{0,2}$"
-
-#: name -> (what is measured, good up to, bad from). Most rules only speak against a text: they have no first bound.
+#: name -> (when it votes good, when it votes bad), in whole numbers, so that every engine decides alike; otherwise it abstains.
 RULES = {
-    "symbols": ("n_symbols / n_words", None, 0.2),
-    "word_length": ("abs(word_chars / n_words - 6.5)", None, 5.5),
-    "dup_lines": ("n_dup_lines / n_lines", None, 0.4),
-    "repetition": ("n_repeat_words / n_words", None, 0.3),
-    "upper_case": ("n_upper_runs / n_words", None, 0.4),
-    "exclamations": ("n_exclamations / n_words", None, 0.3),
-    "non_letters": ("1 - n_letters / word_chars", None, 0.3),
-    "prose": ("1 - n_plain / n_words", 0.1, 0.4),
+    "symbols": ("50 * n_symbols <= n_words", "20 * n_symbols >= 3 * n_words"),
+    "letters": ("100 * n_letters >= 92 * word_chars", "100 * n_letters <= 80 * word_chars"),
+    "word_length": ("10 * word_chars BETWEEN 44 * n_words AND 70 * n_words", "word_chars <= 3 * n_words OR word_chars >= 10 * n_words"),
+    "sentences": ("100 * n_sentences BETWEEN 4 * n_words AND 25 * n_words", "100 * n_sentences <= n_words"),
+    "prose": ("10 * n_plain >= 9 * n_words", "10 * n_plain <= 6 * n_words"),
+    "dup_lines": ("n_lines > 1 AND 20 * n_dup_lines <= n_lines", "10 * n_dup_lines >= 3 * n_lines"),
+    "repetition": ("50 * n_repeat_words <= n_words", "10 * n_repeat_words >= 3 * n_words"),
+    "upper_case": ("20 * n_upper_runs <= n_words", "10 * n_upper_runs >= 3 * n_words"),
 }
 
 
@@ -87,39 +87,55 @@ def measured(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         "w.n_repeat_words",
         "w.n_plain",
         (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_lines"),
-        F.regexp_count("text", F.lit(r"\p{Lu}{2,}")).cast("long").alias("n_upper_runs"),
-        F.regexp_count("text", F.lit("!")).cast("long").alias("n_exclamations"),
+        F.regexp_count("text", F.lit(CAPITALS)).cast("long").alias("n_upper_runs"),
+        F.regexp_count("text", F.lit(SENTENCE)).cast("long").alias("n_sentences"),
         F.length(F.regexp_replace("text", r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
     )
 
 
-def vote(name: str) -> Column:
+def vote_sql(name: str) -> str:
     """1 good, -1 bad, 0 abstains (also where there are no words)."""
-    what, good, bad = RULES[name]
-    value = F.expr(what.replace(" / n_words", " / nullif(n_words, 0)").replace(" / word_chars", " / nullif(word_chars, 0)").replace(" / n_lines", " / nullif(n_lines, 0)"))
-    against = F.when(value >= bad, -1).otherwise(0)
-    return against if good is None else F.when(value <= good, 1).otherwise(against)
+    good, bad = RULES[name]
+    return f"CASE WHEN n_words = 0 THEN 0 WHEN {good} THEN 1 WHEN {bad} THEN -1 ELSE 0 END"
+
+
+def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]]]:
+    """(share of good texts, for each rule how often its votes on good texts say good, and those on bad ones bad), by expectation-maximisation
+    over counts of vote combinations. A prior of ``PRIOR`` of all texts holds a rule with few votes near ``ACCURACY``."""
+    total, n_rules = sum(patterns.values()), len(next(iter(patterns), ()))
+    prior = PRIOR * total + 1
+    share, right = GOOD_SHARE, [(ACCURACY, ACCURACY)] * n_rules
 
+    def rate(hits: float, votes: float) -> float:
+        return min(MOST, max(1 - MOST, (hits + ACCURACY * prior) / (votes + prior)))
 
-def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> tuple[float, list[float]]:
-    """(share of good texts, accuracy of each rule where it votes), by expectation-maximisation over counts of vote
-    combinations. A prior of ``PRIOR`` of all texts holds a rule with few votes near ``ACCURACY``."""
-    total = sum(patterns.values())
-    share, right = GOOD_SHARE, [ACCURACY] * len(RULES)
     for _ in range(rounds):
-        post = {v: posterior(v, share, right) for v in patterns}
-        share = (sum(n * post[v] for v, n in patterns.items()) + 10 * GOOD_SHARE) / (total + 10)
+        good = {v: n * posterior(v, share, right) for v, n in patterns.items()}
+        bad = {v: n - good[v] for v, n in patterns.items()}
+        share = (sum(good.values()) + 10 * GOOD_SHARE) / (total + 10)
         right = [
-            min(MOST, (sum(n * (post[v] if v[j] > 0 else 1 - post[v]) for v, n in patterns.items() if v[j]) + ACCURACY * (PRIOR * total + 1)) / (sum(n for v, n in patterns.items() if v[j]) + PRIOR * total + 1))
-            for j in range(len(RULES))
+            (
+                rate(sum(x for v, x in good.items() if v[j] > 0), sum(x for v, x in good.items() if v[j])),
+                rate(sum(x for v, x in bad.items() if v[j] < 0), sum(x for v, x in bad.items() if v[j])),
+            )
+            for j in range(n_rules)
         ]
     return share, right
 
 
-def posterior(v: tuple[int, ...], share: float, right: list[float]) -> float:
+def evidence(right: tuple[float, float]) -> tuple[float, float]:
+    """Log odds that a good and a bad vote of a rule bring."""
+    on_good, on_bad = right
+    return math.log(on_good / (1 - on_bad)), math.log((1 - on_good) / on_bad)
+
+
+def posterior(v: tuple[int, ...], share: float, right: list[tuple[float, float]]) -> float:
     """Probability that a text with these votes is good; a rule that abstains says nothing."""
-    z = math.log(share / (1 - share)) + sum(x * math.log(a / (1 - a)) for x, a in zip(v, right, strict=True))
-    return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+    z = math.log(share / (1 - share))
+    for x, r in zip(v, right, strict=True):
+        if x:
+            z += evidence(r)[0 if x > 0 else 1]
+    return 1 / (1 + math.exp(-z))
 
 
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -130,15 +146,17 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
     Measures are made once, into a table of numbers; votes and the verdict read that.
     """
     rows = materialize(measured(docs, id_col=id_col, text_col=text_col), "quality")
-    votes = [vote(r).alias(f"v_{r}") for r in RULES]
+    votes = [F.expr(vote_sql(r)).alias(f"v_{r}") for r in RULES]
     counted = rows.select(*votes).groupBy(*[f"v_{r}" for r in RULES]).count().collect()  # at most 3 ** rules rows
-    share, right = estimate({tuple(r[:-1]): r[-1] for r in counted})
+    share, right = estimate(dict(sorted((tuple(r[:-1]), r[-1]) for r in counted)))
     z = F.lit(math.log(share / (1 - share)))
-    for r, a in zip(RULES, right, strict=True):
-        z = z + vote(r) * math.log(a / (1 - a))
+    for name, r in zip(RULES, right or [(ACCURACY, ACCURACY)] * len(RULES), strict=True):
+        good, bad = evidence(r)
+        v = F.expr(vote_sql(name))
+        z = z + F.when(v > 0, good).when(v < 0, bad).otherwise(0.0)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = rows.withColumn("quality", 1 / (1 + F.exp(-z))).withColumn("base_failed", failed)
+    out = rows.withColumn("p", 1 / (1 + F.exp(-z))).withColumn("base_failed", failed)
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"), "quality",
+        (~F.col("base_failed") & (F.col("p") >= threshold)).alias("kept"), F.round("p", 4).alias("quality"),
     )
