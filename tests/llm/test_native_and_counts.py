@@ -119,15 +119,15 @@ def test_line_dedup_stage_keeps_only_copies_whole(spark, docs):
 def _held(docs_rows, items):
     """Brute force: every window of every item's length."""
 
-    def sh(t):
+    def sh(t, k):
         w = re.sub(r"[^\w\s]|_", "", (t or "").lower()).split()
-        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] if k else []
 
     out = {}
     for d, t in docs_rows:
-        x = sh(t)
         for i, u in items:
-            y = sh(u)
+            k = min(5, len(re.sub(r"[^\w\s]|_", "", (u or "").lower()).split()))
+            x, y = sh(t, k), sh(u, k)
             best = None
             for s in range(len(x)):
                 w = x[s : s + len(y)]
@@ -141,7 +141,7 @@ def _held(docs_rows, items):
 
 def test_decontamination_equals_brute_force(spark, docs):
     words = [f"w{i}" for i in range(400)]
-    items = [(i, " ".join(words[20 * i : 20 * i + 15 + 3 * i])) for i in range(10)] + [(50, "too short"), (51, None), (52, " ".join(["same"] * 20))]
+    items = [(i, " ".join(words[20 * i : 20 * i + 15 + 3 * i])) for i in range(10)] + [(50, "too short"), (51, None), (52, " ".join(["same"] * 20)), (53, "w1 w2"), (54, "!"), (None, "no id of it at all, you see"), (56, "the same beginning of several items" + " and one end"), (57, "the same beginning of several items" + " but another end")]
     rows = []
     for i, t in items[:10]:
         w = t.split()
@@ -150,8 +150,8 @@ def test_decontamination_equals_brute_force(spark, docs):
         rows.append((10 * i + 2, " ".join([*w[: len(w) // 2], "z", *w[len(w) // 2 :]])))
         rows.append((10 * i + 3, " ".join(w[len(w) // 2 :] + w[: len(w) // 2])))
         rows.append((10 * i + 4, " ".join(w[: len(w) // 2])))
-    rows += [(900, " ".join(["same"] * 200)), (901, None), (902, ""), (903, items[3][1]), (904, "no " * 5000 + items[4][1])]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows += [(900, " ".join(["same"] * 200)), (901, None), (902, ""), (903, items[3][1]), (904, "no " * 5000 + items[4][1]), (905, "No id of it at all, you see?"), (906, "the same beginning of several items and one end"), (907, items[2][1] + " " + items[3][1] + " W1, w2 " + items[3][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1)).withColumn("n", F.lit("clash"))
     got = {(r.doc_id, r.item_id): (r.start, r.n_shingles, r.similarity) for r in decontaminate.contaminated(docs([*rows, rows[0]]), bench).collect()}
     assert got == _held(rows, items)
     assert len(got) > 20
@@ -162,12 +162,54 @@ def test_decontamination_equals_brute_force(spark, docs):
 
 
 def test_blocks_find_all_within_the_radius(spark):
-    from pyspark.sql import functions as F
+    """Bits flipped one in each block but the last: the farthest that is sure to meet."""
+    own = spark.range(2000).select(F.array(*[F.xxhash64("id", F.lit(j)) for j in range(decontaminate.WORDS)]).alias("a"))
+    edges = [64 * i // decontaminate.BLOCKS for i in range(decontaminate.BLOCKS)]
+    masks = [sum(1 << e for e in edges), *[sum(1 << e for e in edges)] * (decontaminate.WORDS - 2), sum(1 << e for e in edges[:-1])]
+    other = F.array(*[F.col("a")[j].bitwiseXOR(F.lit(m)) for j, m in enumerate(masks)])
+    both = own.select("a", other.alias("b")).withColumn("d", decontaminate.distance(F.col("a"), F.col("b")))
+    same = F.exists(F.zip_with(decontaminate.blocks(F.col("a")), decontaminate.blocks(F.col("b")), lambda x, y: x == y), lambda e: e)
+    assert both.where(~same | (F.col("d") != decontaminate.RADIUS)).count() == 0
 
-    pairs = spark.range(2000).select(F.xxhash64("id").alias("a"), F.shuffle(F.sequence(F.lit(0), F.lit(63))).alias("s"))
-    flipped = F.aggregate(F.slice("s", 1, decontaminate.RADIUS), F.col("a"), lambda v, b: v.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
-    both = pairs.select("a", flipped.alias("b")).select(F.arrays_overlap(decontaminate.blocks(F.col("a")), decontaminate.blocks(F.col("b"))).alias("met"))
-    assert both.where("NOT met").count() == 0
+
+def test_multi_index_prunes(spark):
+    make = lambda n, s: spark.range(n).select(F.col("id").alias(f"i{s}"), F.posexplode(decontaminate.blocks(F.array(*[F.xxhash64("id", F.lit(s + j)) for j in range(decontaminate.WORDS)]))).alias("b", "v"))
+    assert make(2000, 100).join(make(500, 200), ["b", "v"]).count() < 0.05 * 2000 * 500
+
+
+def test_simhash_equals_counting(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, [rng.getrandbits(64) - (1 << 63) for _ in range(rng.choice((1, 2, 7, 40)))]) for i in range(30)] + [(30, [5, -9, 7] * 30_000)]
+    table = spark.createDataFrame(rows, "i int, x array<long>")
+    hashed = F.array(*[F.expr(f"transform(x, h -> xxhash64(h, {j}))") for j in range(decontaminate.WORDS)])
+    for r in table.select(decontaminate.simhash(F.col("x")).alias("f"), hashed.alias("x")).collect():
+        for word, x in zip(r.f, r.x, strict=True):
+            assert word % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in x) > len(x))
+
+
+def test_similarity_of_0_8_is_within_reach(spark):
+    """Recall of the index alone, at the threshold: 8 of 9 shingles in common."""
+    n = 18 * 2
+    x = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.xxhash64(F.col("id"), i))
+    y = F.transform(F.sequence(F.lit(n // 9), F.lit(n + n // 9 - 1)), lambda i: F.xxhash64(F.col("id"), i))
+    both = spark.range(3000).select(decontaminate.simhash(x).alias("a"), decontaminate.simhash(y).alias("b")).cache()
+    assert both.count() == 3000
+    same = F.exists(F.zip_with(decontaminate.blocks(F.col("a")), decontaminate.blocks(F.col("b")), lambda p, q: p == q), lambda e: e)
+    assert both.where(same & (decontaminate.distance(F.col("a"), F.col("b")) <= decontaminate.FARTHEST)).count() > 0.99 * 3000
+
+
+def test_decontamination_of_repetitive_texts_is_quick(spark, docs):
+    import time
+
+    item = " ".join(["one", "two", "three"] * 400)
+    bench = spark.createDataFrame([(1, item), *[(10 + i, f"common words of every item here {i} and then its own w{i} x{i} y{i}") for i in range(200)]], "item_id long, text string")
+    decontaminate.contaminated(docs([(1, "warm")]), bench).collect()
+    start = time.monotonic()
+    got = decontaminate.contaminated(docs([(1, item + " " + item), (2, "common words of every item here")]), bench).collect()
+    assert [(r.doc_id, r.item_id, r.start, r.similarity) for r in got] == [(1, 1, 0, 1.0)]
+    assert time.monotonic() - start < 60
 
 
 def test_chat(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup, quality
+from . import chat, decontaminate, line_dedup, quality
 
 OP1 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, source FROM documents),
@@ -27,6 +27,33 @@ r AS (
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM r
 """
 
+# Exact similarity of every window that shares a shingle with an item, by counting.
+OP3 = f"""
+WITH words AS (
+  SELECT id, is_item, list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\x20\\x09-\\x0D]+', '', 'g'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM (SELECT DISTINCT doc_id AS id, text, false AS is_item FROM documents UNION ALL SELECT DISTINCT item_id, text, true FROM benchmark)
+),
+items AS (SELECT id AS item_id, least(len(w), {decontaminate.SHINGLE}) AS size, len(w) - least(len(w), {decontaminate.SHINGLE}) + 1 AS n, w FROM words WHERE is_item AND len(w) > 0),
+item_sh AS (SELECT item_id, size, n, h, count(*) AS m FROM (SELECT item_id, size, n, unnest(list_transform(range(1, n + 1), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS h FROM items) GROUP BY ALL),
+docs AS (SELECT row_number() OVER () AS rid, id AS doc_id, w FROM words WHERE NOT is_item),
+sh AS (
+  SELECT rid, doc_id, size, len(w) - size + 1 AS len, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS h, unnest(range(0, len(w) - size + 1)) AS p
+  FROM docs, (SELECT DISTINCT size FROM items) WHERE len(w) >= size
+),
+hit AS (SELECT rid, doc_id, item_id, n, len, p, h, m FROM sh JOIN item_sh USING (size, h)),
+enough AS (SELECT rid, item_id FROM hit GROUP BY ALL HAVING 100 * count(*) >= {decontaminate.SIMILARITY} * any_value(n)),
+near AS (SELECT hit.*, unnest(range(greatest(p - n + 1, 0), p + 1)) AS s FROM hit SEMI JOIN enough USING (rid, item_id)),
+shared AS (
+  SELECT rid, doc_id, item_id, n, s, sum(least(c, m)) AS shared, least(n, any_value(len) - s) + n - sum(least(c, m)) AS total
+  FROM (SELECT rid, doc_id, item_id, n, s, h, m, any_value(len) AS len, count(*) AS c FROM near GROUP BY rid, doc_id, item_id, n, s, h, m) GROUP BY rid, doc_id, item_id, n, s
+),
+best AS (
+  SELECT doc_id, item_id, s, n, round(shared / total, 6) AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(shared / total, 6) DESC, s, n) AS k
+  FROM shared WHERE 100 * shared >= {decontaminate.SIMILARITY} * total
+)
+SELECT doc_id, item_id, CAST(s AS BIGINT) AS start, CAST(n AS BIGINT) AS n_shingles, similarity FROM best WHERE k = 1
+"""
+
 OP6 = f"""
 WITH t AS (SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, '{chat.NAMELESS}') AS speaker, coalesce(text, '') AS text FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> '{chat.SYSTEM}'),
