@@ -8,13 +8,19 @@ sums of the chunks before.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Width of a chunk in values of the turn column.
 CHUNK = 256
 # The role that speaks in every rendering as itself, and the name of a speaker without one.
 SYSTEM, NAMELESS = "system", "unknown"
+#: What could be read as a mark, in a name or text: it gets one backslash more, so marks can't be forged and taking one off undoes it.
+MARK = r"<(\\*)\|"
+
+
+def escaped(text: Column) -> Column:
+    return F.regexp_replace(text, MARK, r"<\\$1|")
 
 
 def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -24,7 +30,7 @@ def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
 
     Messages are ordered by turn (null last), then role and text, so ties and repeated rows have a defined place; repeated
     rows are messages of their own. A null role is the speaker ``unknown``; a null text is empty; a null conversation
-    id is one conversation. ``system`` messages belong to every rendering but aren't a participant: a dialogue of nothing else has
+    id is one conversation. A ``<|`` in a text or name is escaped by a backslash between (``name`` itself stays as it is). ``system`` messages belong to every rendering but aren't a participant: a dialogue of nothing else has
     no rendering. Other columns are ignored. The result has as many rows as messages times participants, by its meaning.
     """
     rows = turns.select(
@@ -37,9 +43,9 @@ def rotate(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn
     own = rows.join(speakers, rows["conv_id"].eqNullSafe(speakers["_conv"])).drop("_conv")
     role = F.when(F.col("speaker") == SYSTEM, SYSTEM).when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
     name = F.when(role == "user", F.col("speaker"))
-    head = F.when(role == "user", F.concat(F.lit("<|user|>"), name, F.lit("\n"))).otherwise(F.concat(F.lit("<|"), role, F.lit("|>\n")))
+    head = F.when(role == "user", F.concat(F.lit("<|user|>"), escaped(name), F.lit("\n"))).otherwise(F.concat(F.lit("<|"), role, F.lit("|>\n")))
     own = own.select("conv_id", "perspective", "turn", "speaker", "text", role.alias("role"), name.alias("name"), head.alias("head"))
-    own = own.withColumn("segment", F.concat("head", "text", F.lit("<|end|>\n"))).withColumn("chunk", F.floor(F.col("turn") / chunk))
+    own = own.withColumn("segment", F.concat(F.col("head"), escaped(F.col("text")), F.lit("<|end|>\n"))).withColumn("chunk", F.floor(F.col("turn") / chunk))
     key = ["conv_id", "perspective", "chunk"]
     own = own.repartition(*key)
     sums = own.groupBy(*key).agg(F.sum(F.length("segment").cast("long")).alias("chars"), F.count("*").alias("n"))
