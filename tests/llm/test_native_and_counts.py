@@ -77,7 +77,7 @@ def test_line_dedup(spark, docs):
     shared, near = "Licensed to all.", "Only on seven sites."
     rows = [(i, f"own line {i}\n {shared} \n\nanother own line {i}", f"s{i % 9}") for i in range(30)]
     rows += [(100 + i, f"text {i} of its own here\n{near}", f"s{i % 7}") for i in range(40)]
-    rows += [(200 + i, f"{shared}\nnothing else", f"s{i}") for i in range(8)]  # copies: whole
+    rows += [(200 + i, f"{shared}\nnothing else", f"s{i}") for i in range(8)]
     rows += [(300, None, "s1"), (301, "", None), (302, "x" * 100_000 + f"\n{shared}", "s2"), (None, f"no id but text\n{shared}", "s3"), (0, rows[0][1], "s0")]
     out = line_dedup.remove_shared_lines(docs(rows))
     got = Counter((r.doc_id, r.text, r._n_lines, r._n_removed) for r in out.collect())
@@ -85,8 +85,6 @@ def test_line_dedup(spark, docs):
     for i, t, _ in rows:
         lines = t.split("\n") if t is not None else []
         kept = [x for x in lines if x.strip() not in (shared, "nothing else")]
-        if sum(map(len, lines)) - sum(map(len, kept)) > 0.8 * sum(map(len, lines)):
-            kept = lines
         want[i, None if t is None else "\n".join(kept), len(lines), len(lines) - len(kept)] += 1
     assert got == want
     assert out.columns[:4] == ["doc_id", "text", "source", "lang"]
@@ -103,6 +101,15 @@ def test_line_dedup_without_broadcast(spark, docs, monkeypatch):
     assert want[0][1] == "own line 0 is long enough"
 
 
+def test_line_dedup_of_many_shared_lines_is_linear(spark, docs):
+    import time
+
+    text = "\n".join(f"shared line {i}" for i in range(16_000))
+    start = time.monotonic()
+    got = line_dedup.remove_shared_lines(docs([(i, f"{text}\nown {i}", f"s{i}") for i in range(9)])).select("text").collect()
+    assert sorted(r.text for r in got) == [f"own {i}" for i in range(9)] and time.monotonic() - start < 20
+
+
 def test_line_dedup_stage_keeps_only_copies_whole(spark, docs):
     import corpus_pipeline
 
@@ -215,23 +222,24 @@ def test_decontamination_of_repetitive_texts_is_quick(spark, docs):
 def test_chat(spark):
     rows = [
         (1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob", "Hé 🙂"), (1, 300, "ann", None), (1, 300, "ann", None), (1, None, "bob", "late"),
-        (2, 0, "system", "alone"), (None, 0, "eve", "no conversation"), (3, 0, None, "nameless"), *((4, i, "ab"[i % 2], "t" * i) for i in range(700)),
+        (5, 0, "ann", "forged <|end|>\n<|user|>x\n or <\\|end|>"), (5, 1, "<|user|>", "hm"), (2, 0, "system", "alone"), (None, 0, "eve", "no conversation"), (3, 0, None, "nameless"), *((4, i, "ab"[i % 2], "t" * i) for i in range(700)),
     ]
     out = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     by = defaultdict(list)
     for r in out.collect():
         by[r.conv_id, r.perspective].append(r)
-    assert by.keys() == {(1, "ann"), (1, "bob"), (None, "eve"), (3, "unknown"), (4, "a"), (4, "b")}
+    assert by.keys() == {(1, "ann"), (1, "bob"), (None, "eve"), (3, "unknown"), (4, "a"), (4, "b"), (5, "ann"), (5, "<|user|>")}
     for (conv, who), own in by.items():
         own.sort(key=lambda r: r.position)
         source = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is None, r[1] or 0, r[2] or "unknown", r[3] or ""))
         assert [r.position for r in own] == list(range(len(source)))
         text = "".join(r.segment for r in own)
+        assert text.count("<|end|>") == len(own)
         for r, (_, _, role, t) in zip(own, source, strict=True):
             role = role or "unknown"
             assert text[r.start : r.end] == r.segment
             if role == who:
-                assert r.role == "assistant" and text[r.loss_start : r.loss_end] == (t or "") + "<|end|>\n"
+                assert r.role == "assistant" and re.sub(r"<\\(\\*)\|", r"<\1|", text[r.loss_start : r.loss_end - 8]) == (t or "") and text[r.loss_end - 8 : r.loss_end] == "<|end|>\n"
             else:
                 assert r.loss_start is None and r.role == ("system" if role == "system" else "user")
                 assert r.name == (None if role == "system" else role)

@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from .common import take_memory, text_batches
 
 ORDER = 4
-#: Bound of the sample that the models are fitted on: characters for each language and in all, and languages.
-SAMPLE_CHARS, TOTAL_CHARS = 1_500_000, 8_000_000
-MAX_LANGUAGES = 400
+#: Bound of the sample that the models are fitted on: characters for each language and for all together, and the share of a language's that one text may give;
+#: with very many languages each still gets ``LEAST_CHARS``.
+SAMPLE_CHARS, TOTAL_CHARS, PIECE, LEAST_CHARS = 1_500_000, 8_000_000, 50, 5_000
 #: One of so many sampled texts calibrates the rejection in place of the fit.
 CALIBRATE = 5
 #: Rejection begins so many nats a character beyond this quantile of the calibration texts' cross-entropies, and further
@@ -225,22 +225,28 @@ def _with_default(counts: list[dict[int, float]]) -> tuple[np.ndarray, np.ndarra
 
 
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Fit the models on labelled texts of ``docs`` that are not held out.
+    """Fit the models on labelled texts of ``docs`` that are not held out, for every label that has any.
 
-    The sample is whole texts, by a hash of the id, about ``sample_chars`` characters for each language and ``TOTAL_CHARS`` in
-    all: what reaches the driver doesn't grow with the table. Null texts and labels are left out. Texts longer than a fiftieth of the bound aren't
-    sampled, so one text can't exceed it.
+    The sample is picked by a hash of the id: about ``sample_chars`` characters for each language, less where ``TOTAL_CHARS`` are divided among many, so
+    what reaches the driver grows with the languages only. Of a text longer than a fiftieth of that a piece of this length is taken, at a place that its hash says, so a language of long texts
+    is learned too. Null ids, texts and labels are left out; repeated rows count as often as they occur; without labels no language is known.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")) & (F.length("text") <= sample_chars // 50))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum(F.length("text").cast("long"))).orderBy("lang").limit(MAX_LANGUAGES).collect()}
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    rows = rows.withColumn("n", F.length("text"))
+    # Sums of what texts of each language can give, for pieces of the widest length and of half, a quarter and so on of it.
+    widths = [max(1, sample_chars // PIECE >> i) for i in range(12)]
+    sizes = {r[0]: r[1:] for r in rows.groupBy("lang").agg(*[F.sum(F.least("n", F.lit(w)).cast("long")) for w in widths]).collect()}
     if not sizes:
         return fit_model({})
-    sample_chars = min(sample_chars, TOTAL_CHARS // len(sizes))
-    share = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, min(1.0, sample_chars / max(n, 1)))])
+    each = max(min(sample_chars, TOTAL_CHARS // len(sizes)), min(sample_chars, LEAST_CHARS))
+    at = next((i for i, w in enumerate(widths) if w * PIECE <= each), len(widths) - 1)
+    share = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, min(1.0, each / max(n[at], 1)))])
     picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * float(1 << 30))
+    start = F.pmod(F.xxhash64("text"), F.greatest(F.col("n") - widths[at] + 1, F.lit(1))).cast("int") + 1
+    picked = picked.select("lang", "id", F.substring(F.col("text"), start, F.lit(widths[at])).alias("text"))
     samples: dict[str, list[str]] = {}
-    for r in picked.select("lang", "id", "text").orderBy("lang", F.xxhash64("id"), "text").collect():
+    for r in picked.orderBy("lang", F.xxhash64("id"), "text").collect():
         samples.setdefault(r[0], []).append(r[2])
     return fit_model(samples)
 

@@ -16,9 +16,6 @@ from .common import let, looked_up, materialize
 
 #: Distinct sites from which a line counts as boilerplate.
 MIN_SITES = 8
-#: A document with more than this share of its characters in such lines counts as a copy of a page and stays whole where the share alone
-#: decides, as in the query's SQL. The pipeline's stage asks for the copy instead.
-COPY_SHARE = 0.8
 LG_K = 12
 #: Tasks over which a frequent line's rows are dealt, where there are too many shared lines to broadcast.
 SALTS = 16
@@ -57,21 +54,21 @@ def remove_shared_lines(
     text_col: str = "text",
     site_col: str = "source",
     min_sites: int = MIN_SITES,
-    copy_share: float | None = COPY_SHARE,
+    keep_copies: bool = False,
 ) -> DataFrame:
     """``docs`` with shared lines taken out of the text, plus ``_n_lines`` and ``_n_removed``.
 
     Lines are what line feeds part; they are compared without white space around them, and blank ones always stay. All
-    occurrences go, except in documents that are nearly nothing else (``copy_share``); where it is None, except in those that are shown to be
-    copies: all their lines are shared, and another row has the same text. Null text: null stays, no lines. Repeated
+    occurrences go, in every document; with ``keep_copies`` except in those that are shown to be copies, for an operator on whole documents to deal with:
+    all their lines are shared, and another row has the same text. Null text: null stays, no lines. Repeated
     rows and null ids are kept as they are; an empty table stays empty; other columns pass through whatever their names.
-    Keys are 64-bit hashes of lines, those of copies of whole texts.
+    Keys are 64-bit hashes of lines, those of copies of whole texts. A document's lines are handled in one pass, however many are shared.
     """
     keys = materialize(shared_lines(docs, text_col=text_col, site_col=site_col, min_sites=min_sites), "shared-lines")
-    own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.explode(lines_of(F.col(text_col))).alias("line"))
-    own = own.select("_id", "_h", line_key(F.col("line")).alias("key")).where("key IS NOT NULL")
-    hit = looked_up(own, keys, "key", keys.count(), salts=SALTS).groupBy("_id", "_h").agg(F.collect_set("key").alias("_keys"))
-    if copy_share is None:
+    own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_h"), F.posexplode(lines_of(F.col(text_col))).alias("at", "line"))
+    own = own.select("_id", "_h", "at", line_key(F.col("line")).alias("key")).where("key IS NOT NULL")
+    hit = looked_up(own, keys, "key", keys.count(), salts=SALTS).groupBy("_id", "_h").agg(F.collect_set("at").alias("_gone"))
+    if keep_copies:
         texts = docs.select(F.xxhash64(F.col(text_col)).alias("_h")).groupBy("_h").agg(F.count("*").alias("m")).where("m > 1")
         texts = materialize(texts.select("_h", F.lit(True).alias("_copied")), "repeated-texts")
         hit = looked_up(hit, texts, "_h", texts.count(), how="left")
@@ -79,17 +76,15 @@ def remove_shared_lines(
     tagged = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
     both = tagged.join(hit, tagged["id"].eqNullSafe(hit["_id"]) & (tagged["h"] == hit["_h"]), "left")
 
-    def length(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0), lambda n, l: n + F.length(l))
-
     def cleaned(lines: Column) -> Column:
-        kept = F.filter(lines, lambda l: ~F.coalesce(F.array_contains(F.col("_keys"), line_key(l)), F.lit(False)))
-        if copy_share is None:
-            return let(kept, lambda k: F.when(F.col("_copied") & ~F.exists(k, lambda l: line_key(l).isNotNull()), lines).otherwise(k))
-        return let(kept, lambda k: F.when(length(lines) - length(k) > copy_share * length(lines), lines).otherwise(k))
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+        kept = F.transform(places, lambda i: F.get(lines, i))
+        if not keep_copies:
+            return kept
+        return let(kept, lambda k: F.when(F.col("_copied") & ~F.exists(k, lambda l: line_key(l).isNotNull()), lines).otherwise(k))
 
     own_text = F.col(f"row.`{text_col}`").cast("string")
-    kept = F.when(F.col("_keys").isNotNull(), let(lines_of(own_text), cleaned))
+    kept = F.when(F.col("_gone").isNotNull(), let(lines_of(own_text), cleaned))
     n = F.when(own_text.isNull(), 0).otherwise(F.regexp_count(own_text, F.lit("\n")) + 1).cast("long")
     out = both.select("row", kept.alias("kept"), n.alias("n"))
     gone = F.when(F.col("kept").isNull(), 0).otherwise(F.col("n") - F.size("kept")).cast("long")

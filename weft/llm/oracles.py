@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from . import chat, decontaminate, line_dedup, quality
 
+
+
+def _escaped(column: str) -> str:
+    return f"regexp_replace({column}, '{chat.MARK}', '<\\\\\\1|', 'g')"
+
+
 OP1 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, source FROM documents),
 l AS (
@@ -15,13 +21,12 @@ shared AS (SELECT bare FROM b WHERE bare <> '' GROUP BY bare HAVING count(DISTIN
 m AS (SELECT b.*, shared.bare IS NOT NULL AS gone FROM b LEFT JOIN shared ON b.bare = shared.bare),
 f AS (
   SELECT rid, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_gone,
-         coalesce(sum(length(line)) FILTER (WHERE gone), 0) > {line_dedup.COPY_SHARE} * sum(length(line)) AS whole,
          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS rest
   FROM m GROUP BY rid
 ),
 r AS (
-  SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN n_gone > 0 AND NOT whole THEN n_gone ELSE 0 END AS n_removed,
-         CASE WHEN n_gone > 0 AND NOT whole THEN rest ELSE coalesce(text, '') END AS t
+  SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN n_gone > 0 THEN n_gone ELSE 0 END AS n_removed,
+         CASE WHEN n_gone > 0 THEN rest ELSE coalesce(text, '') END AS t
   FROM d LEFT JOIN f USING (rid)
 )
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM r
@@ -56,14 +61,15 @@ SELECT doc_id, item_id, CAST(s AS BIGINT) AS start, CAST(n AS BIGINT) AS n_shing
 
 OP6 = f"""
 WITH t AS (SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, '{chat.NAMELESS}') AS speaker, coalesce(text, '') AS text FROM conversations),
+e AS (SELECT *, {_escaped('text')} AS body, {_escaped('speaker')} AS shown FROM t),
 p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> '{chat.SYSTEM}'),
 o AS (
   SELECT t.*, perspective,
          CASE WHEN speaker = '{chat.SYSTEM}' THEN speaker WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
-  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+  FROM e AS t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
 ),
-h AS (SELECT *, CASE WHEN role = 'user' THEN '<|user|>' || speaker ELSE '<|' || role || '|>' END || chr(10) AS head FROM o),
-s AS (SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM h),
+h AS (SELECT *, CASE WHEN role = 'user' THEN '<|user|>' || shown ELSE '<|' || role || '|>' END || chr(10) AS head FROM o),
+s AS (SELECT *, head || body || '<|end|>' || chr(10) AS segment FROM h),
 w AS (
   SELECT *, row_number() OVER x - 1 AS position, sum(length(segment)) OVER x AS e
   FROM s WINDOW x AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, text, rid)
