@@ -19,7 +19,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many sites share go; every document stays. Only texts shown to be copies keep theirs, for the next stage to deal with."""
-    return line_dedup.remove_shared_lines(docs, copy_share=None).select(*docs.columns)
+    return line_dedup.remove_shared_lines(docs, keep_copies=True).select(*docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
