@@ -66,11 +66,51 @@ def test_packing_is_whole_and_tight(spark, docs):
     assert packing.pack(docs([]), path).count() == 0
 
 
-def test_cuts_are_reciprocal_classes():
-    for n in range(1, 5000):
-        c = packing.cuts(n)
-        assert sum(c) == n and len(c) <= n // packing.CAPACITY + 6
-        assert all(any(packing.CAPACITY // k == x for k in (packing.CAPACITY // x, packing.CAPACITY // x + 1)) for x in c)
+def _packed(lengths, **kwargs):
+    p = packing.HarmonicPacker(0, **kwargs)
+    rows = []
+    for i, n in enumerate(lengths):
+        rows += p.add(i, b"".join((i * 10_000 + j).to_bytes(4, "little") for j in range(n)))
+        assert len(p.gaps) <= p.most + 1
+    return rows + list(p.close())
+
+
+def test_packer_is_whole_for_any_lengths():
+    import random
+
+    rng = random.Random(8)
+    for case in range(60):
+        c = rng.choice((8, 64, 2048))
+        lengths = [rng.choice((1, rng.randint(1, c), rng.randint(1, 3 * c), c, c // 2, c + 1)) for _ in range(rng.randint(0, 120))]
+        rows = _packed(lengths, capacity=c, waiting=rng.choice((1, 5, 256)))
+        by_doc, by_seq = defaultdict(list), defaultdict(list)
+        for doc, start, n, crc, total, seq, offset, _ in rows:
+            assert total == lengths[doc] and crc == zlib.crc32(b"".join((doc * 10_000 + j).to_bytes(4, "little") for j in range(start, start + n)))
+            by_doc[doc].append((start, n))
+            by_seq[seq].append((offset, n))
+        for group, sizes in ((by_doc, lambda d: lengths[d]), (by_seq, lambda s: None)):
+            for key, parts in group.items():
+                at = 0
+                for start, n in sorted(parts):
+                    assert start == at and n > 0
+                    at += n
+                assert at == sizes(key) if sizes(key) is not None else at == c or at & (at - 1) == 0 and at < c
+        assert sorted(by_doc) == list(range(len(lengths)))
+
+
+def test_most_documents_stay_whole():
+    import random
+
+    rng = random.Random(8)
+    lengths = [min(20_000, max(1, int(rng.lognormvariate(5.5, 1.2)))) for _ in range(20_000)]
+    rows = _packed(lengths)
+    pieces = Counter(r[0] for r in rows)
+    fitting = [i for i, n in enumerate(lengths) if n <= packing.CAPACITY]
+    assert sum(pieces[i] == 1 for i in fitting) > 0.9 * len(fitting)
+    classes = defaultdict(list)
+    for r in rows:
+        classes[r[5]].append(r)
+    assert all(sum(x[7] == k for x in own) <= k for own in classes.values() for k in {x[7] for x in own} - {0})
 
 
 def test_line_dedup(spark, docs):

@@ -1,16 +1,17 @@
 """Harmonic packing of tokenised documents into fixed-capacity sequences.
 
-Lengths fall into reciprocal-capacity classes: class k holds pieces of ``capacity // k`` ids, and each of its bins takes
-exactly k of them. Each worker fills the bins of every class on its own, so nothing is shuffled. Since a document may be
-cut freely, it is cut down the classes: full sequences first, then the largest class size that fits in what is left, until
-nothing is left; a cut at class k leaves less than capacity / (k (k + 1)), so three or four cuts do. What a worker's open
-bins hold at the end of its partition is chained and cut at the capacity; the last part is cut into powers of two, which need
-no padding.
+Lengths fall into reciprocal-capacity classes: class k holds documents of more than ``capacity / (k + 1)`` and at most ``capacity / k`` ids, and each of its
+bins takes exactly k of them, whole. Each worker fills the bins of every class on its own, so nothing is shuffled. What a full bin still lacks
+is a gap; gaps are filled with pieces of documents that are cut for this: the remainders of documents longer than a sequence, and
+documents of over half a sequence, which would leave the largest gaps themselves, as long as gaps wait for so much. So most documents
+stay whole and no sequence is padded. What is open at the end of a worker's partition goes first-fit into bins, the emptiest are dissolved into the
+others' gaps, and the last one is cut into powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import os
 import re
 import zlib
@@ -27,6 +28,8 @@ from .common import take_memory, text_batches
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+#: Bins with a gap that a worker keeps waiting; beyond, the next document is cut whatever its length.
+WAITING = 256
 #: Pre-tokens whose ids a worker remembers; the memory is emptied when full.
 CACHE_WORDS = 400_000
 
@@ -83,60 +86,127 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
-    """Sizes of the pieces of a document of ``n`` ids: each is ``capacity // k`` for some k."""
-    out = [capacity] * (n // capacity)
-    rest = n % capacity
-    while rest:
-        out.append(capacity // -(-capacity // rest))
-        rest -= out[-1]
-    return out
+class Piece:
+    """Ids of one document from ``start`` on; ``size_class`` 0 if it was cut to fill gaps."""
+
+    __slots__ = ("doc_id", "start", "ids", "total", "size_class")
+
+    def __init__(self, doc_id: int | None, start: int, ids: bytes, total: int, size_class: int):
+        self.doc_id, self.start, self.ids, self.total, self.size_class = doc_id, start, ids, total, size_class
+
+    def __len__(self) -> int:
+        return len(self.ids) // 4
+
+    def take(self, n: int) -> Piece:
+        """The first ``n`` ids, which this piece then lacks; all of them if there are no more."""
+        if n >= len(self):
+            head = Piece(self.doc_id, self.start, self.ids, self.total, self.size_class)
+            self.ids = b""
+            return head
+        head = Piece(self.doc_id, self.start, self.ids[: 4 * n], self.total, 0)
+        self.start, self.ids, self.size_class = self.start + n, self.ids[4 * n :], 0
+        return head
 
 
 class HarmonicPacker:
-    """Bins of one worker. ``add`` and ``close`` give finished rows; the state is bounded by the number of classes."""
+    """Bins of one worker. ``add`` and ``close`` give finished rows; what is held is bounded by the number of classes and ``WAITING``."""
 
-    def __init__(self, first_id: int, capacity: int = CAPACITY):
-        self.capacity = capacity
+    def __init__(self, first_id: int, capacity: int = CAPACITY, waiting: int = WAITING):
+        self.capacity, self.most = capacity, waiting
         self.next_id = first_id
-        self.open: dict[int, list[tuple]] = {}
-
-    def _sequence(self) -> int:
+        self.open: dict[int, list[Piece]] = {}
+        self.gaps: list[tuple[int, int, list[Piece]]] = []  # heap by the largest gap: (-gap, number, pieces)
+        self.room = 0  # sum of the gaps
+        self.made = 0
+
+    def _rows(self, pieces: list[Piece]) -> Iterator[tuple]:
+        """One sequence."""
+        seq, offset = self.next_id, 0
         self.next_id += 1
-        return self.next_id - 1
-
-    @staticmethod
-    def _row(piece: tuple, seq: int, offset: int) -> tuple:
-        doc_id, start, ids, total, size = piece
-        return (doc_id, start, len(ids) // 4, zlib.crc32(ids), total, seq, offset, size)
+        for p in pieces:
+            yield (p.doc_id, p.start, len(p), zlib.crc32(p.ids), p.total, seq, offset, p.size_class)
+            offset += len(p)
+
+    def _wait(self, gap: int, pieces: list[Piece]) -> None:
+        heapq.heappush(self.gaps, (-gap, self.made, pieces))
+        self.made += 1
+        self.room += gap
+
+    def _fill(self, piece: Piece) -> Iterator[tuple]:
+        """Cut a piece into the largest gaps, until it or they end."""
+        while len(piece) and self.gaps:
+            gap, _, pieces = heapq.heappop(self.gaps)
+            self.room += gap
+            pieces.append(piece.take(-gap))
+            left = -gap - len(pieces[-1])
+            if left:
+                self._wait(left, pieces)
+            else:
+                yield from self._rows(pieces)
 
     def add(self, doc_id: int | None, ids: bytes) -> Iterator[tuple]:
-        total, start = len(ids) // 4, 0
-        for size in cuts(total, self.capacity):
-            own = self.open.setdefault(size, [])
-            own.append((doc_id, start, ids[4 * start : 4 * (start + size)], total, size))
-            start += size
-            if len(own) == self.capacity // size:
-                seq = self._sequence()
-                for i, piece in enumerate(own):
-                    yield self._row(piece, seq, i * size)
-                own.clear()
+        piece = Piece(doc_id, 0, ids, len(ids) // 4, 0)
+        whole = len(piece) <= self.capacity
+        while len(piece) >= self.capacity:
+            head = piece.take(self.capacity)
+            head.size_class = 1
+            yield from self._rows([head])
+        n = len(piece)
+        if not n:
+            return
+        large = not whole or 2 * n > self.capacity
+        if large and n <= self.room or len(self.gaps) >= self.most:
+            yield from self._fill(piece)
+            n = len(piece)
+            if not n:
+                return
+        k = self.capacity // n
+        piece.size_class = k
+        own = self.open.setdefault(k, [])
+        own.append(piece)
+        if len(own) == k:
+            del self.open[k]
+            gap = self.capacity - sum(map(len, own))
+            if gap:
+                self._wait(gap, own)
+            else:
+                yield from self._rows(own)
 
     def close(self) -> Iterator[tuple]:
-        rest = [p for size in sorted(self.open, reverse=True) for p in self.open[size]]
-        left = sum(len(p[2]) // 4 for p in rest)
-        seq, offset, room = 0, 0, 0
-        for doc_id, start, ids, total, size in rest:
-            while ids:
-                if offset == room:
-                    room = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
-                    left -= room
-                    seq, offset = self._sequence(), 0
-                now, ids = ids[: 4 * (room - offset)], ids[4 * (room - offset) :]
-                yield self._row((doc_id, start, now, total, size), seq, offset)
-                offset += len(now) // 4
-                start += len(now) // 4
-        self.open.clear()
+        rest = sorted((p for own in self.open.values() for p in own), key=len, reverse=True)
+        bins = [[self.capacity + gap, pieces] for gap, _, pieces in sorted(self.gaps)]  # [ids, pieces]
+        self.open, self.gaps, self.room = {}, [], 0
+        for p in rest:
+            own = next((b for b in bins if b[0] + len(p) <= self.capacity), None)
+            if own is None:
+                own = [0, []]
+                bins.append(own)
+            own[0] += len(p)
+            own[1].append(p)
+        bins.sort(key=lambda b: -b[0])
+        full = sum(b[0] for b in bins) // self.capacity  # so many sequences; the other bins' pieces fill these
+        for held, pieces in bins[:full]:
+            if held < self.capacity:
+                self._wait(self.capacity - held, pieces)
+            else:
+                yield from self._rows(pieces)
+        tail: list[Piece] = []
+        for _, pieces in bins[full:]:
+            for p in pieces:
+                yield from self._fill(p)
+                if len(p):
+                    tail.append(p)
+        left = sum(map(len, tail))
+        while left:
+            room = 1 << left.bit_length() - 1
+            left -= room
+            own = []
+            while room:
+                own.append(tail[0].take(room))
+                room -= len(own[-1])
+                if not len(tail[0]):
+                    tail.pop(0)
+            yield from self._rows(own)
 
 
 def pack(
@@ -151,7 +221,8 @@ def pack(
     """Pack every document of ``docs``; one row per piece, see ``SCHEMA``.
 
     A null or empty text is the end id alone. A null id stays null; rows with one id are separate documents. Texts of any length
-    are cut into full sequences. An empty table gives no rows. Other columns, whatever their names, are ignored.
+    are cut into full sequences, whose remainder is packed as a document of its length. An empty table gives no rows. Other columns, whatever their names, are ignored.
+    ``size_class`` is the reciprocal class of a piece, 0 where it was cut to fill gaps.
     ``sequence_id`` holds the partition in its upper bits, so workers never meet and a retried task gives the same rows.
     """
 
