@@ -1,4 +1,4 @@
-"""The graph and its changes, on small graphs with known answers."""
+"""The graph and its changes, on small networks with known answers."""
 
 import numpy as np
 import pytest

@@ -1,6 +1,6 @@
-"""Graphs of points, pairs and trajectories as Spark tables: making, changing, analysing, embedding, labelling, ordering them.
+"""Networks of points, pairs and trajectories as Spark tables: making, changing, analysing, embedding, labelling, ordering them.
 
-``Graph`` has the operators as methods; makers of graphs from points and parameters are functions of this package.
+``Graph`` has the operators as methods; makers of networks from points and parameters are functions of this package.
 """
 
 from weft.graph import Graph

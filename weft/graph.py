@@ -20,7 +20,7 @@ LOCAL_EDGES = 5_000_000
 class Graph:
     """Vertices and directed edges. Ids count from 0; vertices without edges are in ``vertices`` only.
 
-    ``weighted`` graphs have no zero weight (it means no edge) and no repeated edge. Unweighted graphs hold pairs, which may repeat, each with
+    ``weighted`` networks have no zero weight (it means no edge) and no repeated edge. Unweighted networks hold pairs, which may repeat, each with
     weight 1; ``symmetric`` ones are made of both directions of each pair. Every method gives a new graph; none changes this one. All
     of them are plans: nothing runs before an action, except where a method says so.
     """
@@ -112,7 +112,7 @@ class Graph:
         return own.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("weight").alias("value"))
 
     def dense_rows(self) -> DataFrame:
-        """``id, row array<double>``; needs memory for n numbers a row, so for small graphs."""
+        """``id, row array<double>``; needs memory for n numbers a row, so for small networks."""
         n = self.num_vertices()
         filled = self.edges.groupBy("src").agg(F.map_from_entries(F.collect_set(F.struct("dst", "weight"))).alias("m"))
         cell = lambda j: F.coalesce(F.try_element_at(F.col("m"), j), F.lit(0.0))
@@ -151,7 +151,7 @@ class Graph:
     # -- changing ----------------------------------------------------------------------------------------------------------
 
     def add_edges(self, new: DataFrame, *, weight: float | str = 1, symmetric: bool = False) -> Graph:
-        """Add ``src, dst`` rows: weighted graphs overwrite (a zero deletes), unweighted ones insert what is absent and warn if a
+        """Add ``src, dst`` rows: weighted networks overwrite (a zero deletes), unweighted ones insert what is absent and warn if a
         weight is given."""
         own = new.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), (F.col(weight) if isinstance(weight, str) else F.lit(float(weight))).cast("double").alias("weight"))
         if symmetric or self.symmetric:
@@ -243,7 +243,7 @@ class Graph:
     # -- handing over ------------------------------------------------------------------------------------------------------
 
     def to_numpy(self) -> np.ndarray:
-        """Dense adjacency matrix on the driver, for small graphs: n is bounded by ``weft.plans.linalg.LOCAL_VERTICES``."""
+        """Dense adjacency matrix on the driver, for small networks: n is bounded by ``weft.plans.linalg.LOCAL_VERTICES``."""
         from weft.plans.linalg import to_dense
 
         return to_dense(self)

@@ -1,4 +1,4 @@
-"""Analysis of graphs: components, distances, centrality, Laplacians, widths.
+"""Analysis of networks: components, distances, centrality, Laplacians, widths.
 
 Paths from a source don't depend on other sources, so sources are dealt over tasks with the edges broadcast, as long as there are no
 more than ``BROADCAST_EDGES`` of them; beyond that distances spread by joins, round by round.
@@ -216,7 +216,7 @@ def _walk(graph: Graph) -> DataFrame:
 
 def directed_laplacian(graph: Graph, *, eta: float = 0.99, tol: float = 1e-12, max_iter: int = 500) -> DataFrame:
     """``i, j, value`` of F - (F P + P'F) / 2: P the walk with teleporting, F its stationary vector on the diagonal. All cells are
-    there (teleporting reaches every vertex), so it is for small graphs."""
+    there (teleporting reaches every vertex), so it is for small networks."""
     phi = materialize(stationary(graph, eta=eta, tol=tol, max_iter=max_iter), "phi")
     n = phi.count()
     pairs = phi.select(F.col("id").alias("i"), F.col("phi").alias("fi")).join(phi.select(F.col("id").alias("j"), F.col("phi").alias("fj")))

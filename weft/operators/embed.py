@@ -29,7 +29,7 @@ def isomap(graph: Graph, *, num_dims: int | None = None, directed: bool | None =
 
 def centred_distances(graph: Graph, *, directed: bool | None = None) -> DataFrame:
     """``i, j, value``: squares of all distances, times -1/2, less the means of their row and column, plus that of all; of
-    connected graphs."""
+    connected networks."""
     own = shortest_path(graph, directed=directed).select(F.col("src").alias("i"), F.col("dst").alias("j"), (-0.5 * F.col("dist") * F.col("dist")).alias("v"))
     rows, cols = own.groupBy("i").agg(F.avg("v").alias("r")), own.groupBy("j").agg(F.avg("v").alias("c"))
     mean = own.agg(F.avg("v").alias("m"))

@@ -1,4 +1,4 @@
-"""Graphs of points by empty regions: Delaunay, Urquhart, Gabriel, relative neighbourhood."""
+"""Networks of points by empty regions: Delaunay, Urquhart, Gabriel, relative neighbourhood."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Nearest neighbours and neighbour graphs, exact, in blocks of points.
+"""Nearest neighbours and neighbour networks, exact, in blocks of points.
 
 Points are dealt into blocks; each pair of a query block and a target block is one NumPy kernel with bounded memory, which keeps
 the best of its pairs only. Blocks meet through a shuffle of points (n / block copies of each), never of pairs.

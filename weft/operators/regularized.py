@@ -1,4 +1,4 @@
-"""Graphs by sparse coding: each point is made up of few others; a small problem for each point, in groups of a table."""
+"""Networks by sparse coding: each point is made up of few others; a small problem for each point, in groups of a table."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Connected components by contraction, for graphs of any size and shape."""
+"""Connected components by contraction, for networks of any size and shape."""
 
 from __future__ import annotations
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_VERTICES = 4000
-#: Graphs of up to so many edges are solved in one process where an operator has a local kernel; larger ones by joins.
+#: Networks of up to so many edges are solved in one process where an operator has a local kernel; larger ones by joins.
 LOCAL_EDGES = 200_000
 
 

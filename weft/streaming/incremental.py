@@ -1,4 +1,4 @@
-"""Neighbour graphs that grow step by step: ranked once, cut for each step."""
+"""Neighbour networks that grow step by step: ranked once, cut for each step."""
 
 from __future__ import annotations
 
