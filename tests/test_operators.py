@@ -457,3 +457,50 @@ def test_orders(spark):
     assert narrow.bandwidth().first()[0] <= g.bandwidth().first()[0] and narrow.num_edges() == g.num_edges()
     assert sorted(reorder.cuthill_mckee_order(g.to_numpy())) == list(range(9))
     assert transform.component_edges(g).count() == 20
+
+
+# Points whose matchings are known, and for each vertex the two that it chooses.
+MATCHED = [(0.192, 0.622), (0.438, 0.785), (0.780, 0.273), (0.276, 0.802), (0.958, 0.876), (0.358, 0.501), (0.683, 0.713), (0.370, 0.561), (0.503, 0.014), (0.773, 0.883)]
+DAMPED = [{1, 3}, {0, 3}, {6, 8}, {0, 1}, {2, 9}, {7, 8}, {2, 9}, {0, 5}, {2, 5}, {4, 6}]
+UNDAMPED = [{3, 7}, {3, 7}, {4, 8}, {0, 1}, {6, 9}, {7, 8}, {4, 9}, {0, 5}, {2, 5}, {4, 6}]
+
+
+def test_b_matching_of_known_points(spark):
+    d = pairwise(np.array(MATCHED), np.array(MATCHED))
+    rows = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(10) for j in range(10)], "i long, j long, d double")
+    for damping, want in ((0.5, DAMPED), (1, UNDAMPED)):
+        got = [set() for _ in range(10)]
+        for r in weft.b_matching(rows, 2, damping=damping).edges.collect():
+            got[r.src].add(r.dst)
+        assert got == want
+    some = weft.b_matching(rows, [0] * 5 + [20] * 5).edges.collect()
+    assert {(r.src, r.dst) for r in some} == {(i, j) for i in range(5, 10) for j in range(10) if i != j}
+    with pytest.warns(UserWarning, match="did not settle"):
+        weft.b_matching(rows, 2, max_iter=2)
+
+
+def test_affine_code_is_the_least():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        y, penalty = rng.normal(size=(6, 4)), rng.uniform(0.05, 1, 6)
+        cost = lambda c: ((c @ y) ** 2).sum() / 2 + (penalty * np.abs(c)).sum()  # noqa: E731, B023
+        c = regularized.affine_code(y, penalty)
+        assert c.sum() == pytest.approx(1, abs=1e-7)
+        for _ in range(300):
+            step = rng.normal(size=6) * 10.0 ** rng.uniform(-6, 0)
+            assert cost(c) <= cost(c + step - step.mean()) + 1e-7
+
+
+def test_spanning_network_of_moons_and_a_roll(spark):
+    rng = np.random.RandomState(1234)
+    a = np.hstack((rng.uniform(0, 1, 55), rng.uniform(1, 2, 75))) * np.pi
+    x = (1.3 + 0.12 * rng.randn(130)[:, None]) * np.column_stack((np.cos(a), np.sin(a)))
+    x[:55] += (0, -0.2)
+    x[55:] += (0.9, 0.25)
+    g = weft.manifold_spanning_graph(points(spark, x), 2, num_ccs=2)
+    assert not [e for e in g.edges.collect() if (e.src < 55) != (e.dst < 55)]
+    assert g.connected_components().select("component").distinct().count() == 2
+    roll = weft.swiss_roll(spark, 6, 120, radius=4.8, seed=2).persist()
+    wide = roll.agg(F.min("theta"), F.max("theta")).first()
+    share = roll.select("id", F.array((F.col("theta") - wide[0]) / (wide[1] - wide[0])).alias("x"))
+    assert weft.error_ratio(weft.manifold_spanning_graph(roll.select("id", "x"), 2), share).first().errors == 0
