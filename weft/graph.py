@@ -249,10 +249,10 @@ class Graph:
         return to_dense(self)
 
     def _local(self):
-        n = self.num_edges()
-        if n > LOCAL_EDGES:
-            raise ValueError(f"{n} edges are too many for a library on the driver")
-        return [r.id for r in self.vertices.orderBy("id").collect()], [tuple(r) for r in self.edges.orderBy("src", "dst").collect()]
+        """Ids and edges in order, for a library on the driver; both bounded."""
+        from weft.plans.linalg import collected
+
+        return [r.id for r in collected(self.vertices.orderBy("id"), "vertices", LOCAL_EDGES)], [tuple(r) for r in collected(self.edges.orderBy("src", "dst"), "edges", LOCAL_EDGES)]
 
     def to_networkx(self, directed: bool | None = None):
         import networkx as nx
@@ -289,10 +289,15 @@ def numbered(ids: DataFrame) -> DataFrame:
     return sums_before(ids.select("id", F.lit(1).alias("_one")), "id", "_one", "new").select("id", "new")
 
 
-def _row_metric(metric):
+def _row_metric(metric, rows: int = 32):
+    """A metric of stacks of points for pairs of points: so many pairs go into one call, of whose matrix the diagonal counts."""
+
     @F.pandas_udf("double")
     def apply(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([float(pairwise(np.array([x]), np.array([y]), metric)[0, 0]) for x, y in zip(a, b, strict=True)])
+        out = np.empty(len(a))
+        for k in range(0, len(a), rows):
+            out[k : k + rows] = np.diagonal(pairwise(np.stack(a[k : k + rows].to_list()), np.stack(b[k : k + rows].to_list()), metric))
+        return pd.Series(out)
 
     return apply
 

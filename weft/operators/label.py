@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weft.graph import Graph
 from weft.plans.iterate import until
-from weft.plans.linalg import LOCAL_EDGES, coo_to_numpy, from_numpy
+from weft.plans.linalg import LOCAL_EDGES, LOCAL_VERTICES, bounded, collected, coo_to_numpy, from_numpy
 from weft.plans.tables import discard, materialize
 
 from .analysis import laplacian
@@ -24,7 +24,7 @@ def color_greedy(graph: Graph, *, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``id, color``: the smallest positive colour that no neighbour (target) with a smaller id has, vertex by vertex. Vertices whose
     smaller neighbours are done are coloured together, round by round, with the same result."""
     lower = materialize(graph.edges.where("dst < src").select("src", "dst").distinct(), "lower")
-    if lower.count() <= local_edges:
+    if lower.count() <= local_edges and graph.num_vertices() <= local_edges:
         rows = lower.groupBy("src").agg(F.collect_list("dst").alias("n")).collect()
         near, colour = {r.src: r.n for r in rows}, {}
         for r in graph.vertices.orderBy("id").toLocalIterator():
@@ -125,8 +125,8 @@ def classify_local(graph: Graph, labels: DataFrame, **_) -> DataFrame:
 def classify_harmonic(graph: Graph, labels: DataFrame, *, use_CMN: bool = True) -> DataFrame:
     """``id, label``: unknown vertices get the harmonic function of the known ones, its classes scaled to the known ones' masses if
     asked for; known labels stay. Bounded by ``LOCAL_VERTICES``."""
-    n = graph.num_vertices()
-    own = {r.id: r.label for r in _partial(labels).collect()}
+    n = bounded(graph.num_vertices())
+    own = {r.id: r.label for r in collected(_partial(labels), "labels", LOCAL_VERTICES)}
     known = np.array([i in own for i in range(n)])
     classes = sorted(set(own.values()))
     one = np.array([[own[i] == c for c in classes] for i in range(n) if known[i]], float)
@@ -142,7 +142,7 @@ def classify_harmonic(graph: Graph, labels: DataFrame, *, use_CMN: bool = True)
 def regression(graph: Graph, targets: DataFrame, *, smoothness_penalty: float = 0, kernel: str = "rbf") -> DataFrame:
     """``id, y``: values on all vertices, smooth along the edges, from ``id, y`` (a number or an array) on some. Without a penalty the known ones
     stay as they are. Bounded by ``LOCAL_VERTICES``."""
-    rows = targets.select("id", "y").orderBy("id").collect()
+    rows = collected(targets.select("id", "y").orderBy("id"), "known values", LOCAL_VERTICES)
     if not rows:
         raise ValueError("no values are known")
     flat = not isinstance(rows[0].y, list)

@@ -20,6 +20,14 @@ def bounded(n: int, what: str = "vertices") -> int:
     return n
 
 
+def collected(df: DataFrame, what: str, limit: int = LOCAL_EDGES) -> list:
+    """Rows on the driver, of which there may be no more than the limit; nothing beyond it is brought."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} {what} are too many for the driver")
+    return rows
+
+
 def to_dense(graph) -> np.ndarray:
     n = bounded(graph.num_vertices())
     out = np.zeros((n, n))

@@ -212,29 +212,63 @@ def relative_neighborhood_graph(spark, d):
     return _half(weft.relative_neighborhood_graph(plane(spark, d), weighted=True))
 
 
-@query()
+# A pair is a side if some circle through both is empty: each other point bounds how far its centre may lie along the middle line, to one side or the other.
+SIDES = f"""{P2}, m AS (SELECT a.id AS s, b.id AS t, a.x AS xa, list_distance(a.x, b.x) AS d, (a.x[1] + b.x[1]) / 2 AS mx, (a.x[2] + b.x[2]) / 2 AS my, a.x[2] - b.x[2] AS nx, b.x[1] - a.x[1] AS ny FROM p a, p b WHERE a.id < b.id),
+w AS (SELECT s, t, d, nx * (p.x[1] - mx) + ny * (p.x[2] - my) AS g, (p.x[1] - mx) ** 2 + (p.x[2] - my) ** 2 - d * d / 4 AS h FROM m, p WHERE p.id <> s AND p.id <> t),
+side AS MATERIALIZED (SELECT s, t, any_value(d) AS d FROM w GROUP BY s, t HAVING coalesce(max(h / g) FILTER (WHERE g < 0), '-inf'::DOUBLE) < coalesce(min(h / g) FILTER (WHERE g > 0), 'inf'::DOUBLE))"""
+
+
+@query(f"WITH {SIDES} SELECT s AS src, t AS dst, round(d, 6) AS weight FROM side")
 def delaunay_graph(spark, d):
     return _half(weft.delaunay_graph(plane(spark, d), weighted=True))
 
 
-@query()
+# Three sides are a triangle of the triangulation if no point lies in the circle through their ends; a side stays if it isn't the longest of one of its triangles.
+@query(f"""WITH {SIDES}, three AS (SELECT x.s AS i, x.t AS j, y.t AS k, x.d AS dij, y.d AS djk, z.d AS dik FROM side x JOIN side y ON y.s = x.t JOIN side z ON z.s = x.s AND z.t = y.t),
+c AS (SELECT three.*, a.x AS pa, b.x[1] - a.x[1] AS bx, b.x[2] - a.x[2] AS b_y, c.x[1] - a.x[1] AS cx, c.x[2] - a.x[2] AS cy FROM three JOIN p a ON a.id = i JOIN p b ON b.id = j JOIN p c ON c.id = k),
+o AS (SELECT *, (cy * (bx * bx + b_y * b_y) - b_y * (cx * cx + cy * cy)) / (2 * (bx * cy - b_y * cx)) AS ux, (bx * (cx * cx + cy * cy) - cx * (bx * bx + b_y * b_y)) / (2 * (bx * cy - b_y * cx)) AS uy FROM c),
+tri AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.id NOT IN (i, j, k) AND (p.x[1] - pa[1] - ux) ** 2 + (p.x[2] - pa[2] - uy) ** 2 < (ux * ux + uy * uy) * (1 - 1e-9))),
+lines AS (SELECT i AS s, j AS t, dij AS d, greatest(dij, djk, dik) AS longest FROM tri UNION ALL SELECT j, k, djk, greatest(dij, djk, dik) FROM tri UNION ALL SELECT i, k, dik, greatest(dij, djk, dik) FROM tri)
+SELECT DISTINCT s AS src, t AS dst, round(d, 6) AS weight FROM lines WHERE d < longest""")
 def urquhart_graph(spark, d):
     return _half(weft.urquhart_graph(plane(spark, d), weighted=True))
 
 
-@query()
+def _grown(trees: int) -> str:
+    """Trees grown from the first point: each time the nearest point outside comes in. Each tree goes without the pairs of those before."""
+    out = f"""{P}, o AS (SELECT row_number() OVER (ORDER BY id) AS i, id, x FROM p), sz AS (SELECT count(*) AS n FROM p),
+m1 AS MATERIALIZED (SELECT a.i, list(CASE WHEN list_distance(a.x, b.x) = 0 THEN 'inf'::DOUBLE ELSE list_distance(a.x, b.x) END ORDER BY b.i) AS d FROM o a, o b GROUP BY a.i)"""
+    for t in range(1, trees + 1):
+        out += f""",
+g{t}(k, near, origin, a, b, w) AS (
+  SELECT 1::BIGINT, list_concat([NULL::DOUBLE], d[2:]), list_transform(d, lambda z: 1::BIGINT), 0::BIGINT, 0::BIGINT, 0::DOUBLE FROM m{t} WHERE i = 1
+  UNION ALL
+  SELECT k + 1, list_transform(range(1, len(near) + 1), lambda z: CASE WHEN z = j OR near[z] IS NULL THEN NULL ELSE least(near[z], m.d[z]) END),
+         list_transform(range(1, len(near) + 1), lambda z: CASE WHEN m.d[z] < near[z] THEN j ELSE origin[z] END), origin[j], j, w0
+  FROM (SELECT k, near, origin, list_min(near) AS w0, list_position(near, list_min(near))::BIGINT AS j FROM g{t}, sz WHERE k < n) s JOIN m{t} m ON m.i = s.j WHERE w0 < 'inf'::DOUBLE
+),
+t{t} AS MATERIALIZED (SELECT least(a, b) AS a, greatest(a, b) AS b, w FROM g{t} WHERE a > 0)"""
+        if t < trees:
+            out += f""",
+u{t} AS (SELECT i, list(j) AS js FROM (SELECT a AS i, b AS j FROM t{t} UNION ALL SELECT b, a FROM t{t}) GROUP BY i),
+m{t + 1} AS MATERIALIZED (SELECT m.i, list_transform(range(1, len(d) + 1), lambda z: CASE WHEN list_contains(coalesce(js, []), z) THEN 'inf'::DOUBLE ELSE d[z] END) AS d FROM m{t} m LEFT JOIN u{t} u ON u.i = m.i)"""
+    whole = " UNION ALL ".join(f"SELECT * FROM t{t}" for t in range(1, trees + 1))
+    return f"WITH RECURSIVE {out}, whole AS ({whole}) SELECT x.id AS src, y.id AS dst, round(w, 6) AS weight FROM whole JOIN o x ON x.i = a JOIN o y ON y.i = b"
+
+
+@query(_grown(1))
 def mst(spark, d):
-    return _half(weft.mst(plane(spark, d)))
+    return _half(weft.mst(points(spark, d)))
 
 
-@query()
+@query(_grown(3))
 def disjoint_mst(spark, d):
-    return _half(weft.disjoint_mst(plane(spark, d), num_spanning_trees=2))
+    return _half(weft.disjoint_mst(points(spark, d)))
 
 
 @query()
 def perturbed_mst(spark, d):
-    return _half(weft.perturbed_mst(plane(spark, d), num_perturbations=2))
+    return _half(weft.perturbed_mst(points(spark, d), num_perturbations=20))
 
 
 @query()
@@ -257,14 +291,33 @@ def inter_cluster_distance(spark, d):
     return weft.inter_cluster_distance(points(spark, d), labels).select("c1", "c2", rounded("d").alias("d"), "i", "j")
 
 
+@query(f"""WITH {P}, c AS (SELECT label, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM p JOIN (SELECT vec_id, label FROM embeddings) ON vec_id = id)
+SELECT label::BIGINT AS label, i::INTEGER AS i, round(avg(v), 6) + 0.0 AS mean, 1.0::DOUBLE AS length FROM c GROUP BY label, i""")
+def cluster_subspaces(spark, d):
+    """Means, and the length of the first axis for each coordinate."""
+    from weft.operators.manifold import cluster_subspaces as subspaces
+
+    labels = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    own = subspaces(points(spark, d), labels, 1)
+    length = F.sqrt(F.aggregate("axes", F.lit(0.0), lambda s, v: s + v * v))
+    return own.select("label", rounded(length).alias("length"), F.posexplode("mean").alias("i", "v")).select("label", (F.col("i") + 1).alias("i"), rounded("v").alias("mean"), "length")
+
+
 @query()
 def manifold_spanning_graph(spark, d):
-    return _half(weft.manifold_spanning_graph(plane(spark, d), 1))
+    return _half(weft.manifold_spanning_graph(points(spark, d), 1))
+
+
+@query()
+def flesh_out(spark, d):
+    """The tree of nearest ways with more edges, between the vectors' labels as first parts."""
+    labels = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return _half(weft.flesh_out(points(spark, d), weft.mst(points(spark, d)), 2, labels, angle_thresh=0.9))
 
 
 @query()
 def saffron_graph(spark, d):
-    return weft.saffron(plane(spark, d), q=12, k=4).edges.select("src", "dst", rounded("weight").alias("weight"))
+    return weft.saffron(points(spark, d), q=32, k=4).edges.select("src", "dst", rounded("weight").alias("weight"))
 
 
 @query()
@@ -333,10 +386,17 @@ def figure_eight(spark, d):
     return weft.FigureEight().point_cloud(spark, 500).select("id", rounded(F.col("x")[0]).alias("x"), rounded(F.col("x")[1]).alias("y"))
 
 
-@query()
+# Where a parameter is random, what holds for any value of it: the strip's angle and slope, the figure's equation.
+@query("""WITH i AS (SELECT range AS i, 2 * pi() * range / 199.0::DOUBLE AS t, -pi() - 1 + (2 * pi() + 2) * range / 199.0::DOUBLE AS u FROM range(200))
+SELECT 'mobius' AS shape, i AS id, round(atan2(sin(t), cos(t)), 6) + 0.0 AS a, 0.0::DOUBLE AS b FROM i
+UNION ALL SELECT 's_curve', i, round(sin(u), 6) + 0.0, round(CASE WHEN i < 100 THEN 2 - cos(u) ELSE cos(u) END, 6) + 0.0 FROM i UNION ALL SELECT 'figure_eight', i % 40, i % 40, 0 FROM i""")
 def shapes(spark, d):
-    own = [weft.MobiusStrip().point_cloud(spark, 200).select("id", "x"), weft.SCurve().point_cloud(spark, 200).select("id", "x"), weft.FigureEight(dimension=3).trajectories(spark, 5, 40).select(F.col("step").cast("long").alias("id"), "x")]
-    return own[0].withColumn("shape", F.lit("mobius")).union(own[1].withColumn("shape", F.lit("s_curve"))).union(own[2].withColumn("shape", F.lit("figure_eight")))
+    x, y, z = (F.col("x")[i] for i in range(3))
+    strip = weft.MobiusStrip().point_cloud(spark, 200).withColumn("t", 2 * F.pi() * F.col("id") / 199.0)
+    strip = strip.select(F.lit("mobius").alias("shape"), "id", rounded(F.atan2(y, x)).alias("a"), rounded(z * F.cos(F.col("t") / 2) - (F.hypot(x, y) - 1) * F.sin(F.col("t") / 2)).alias("b"))
+    curve = weft.SCurve().point_cloud(spark, 200).select(F.lit("s_curve"), "id", rounded(x), rounded(z))
+    eight = weft.FigureEight(dimension=3).trajectories(spark, 5, 40)
+    return strip.union(curve).union(eight.select(F.lit("figure_eight"), F.col("step").cast("long"), F.col("step").cast("double"), rounded(y * y - x * x * (1 - x * x))))
 
 
 @query()
@@ -353,7 +413,7 @@ def epsilon_net(spark, d):
 
 @query()
 def fuzzy_c_means(spark, d):
-    return weft.fuzzy_c_means(plane(spark, d), 8, max_iter=15, tol=1e-2)
+    return weft.fuzzy_c_means(points(spark, d), 8)
 
 
 @query(f"""WITH s AS (SELECT user_id AS traj_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS id FROM events)
@@ -381,6 +441,18 @@ def adjacency_matrix(spark, d):
     return supply(spark, d).matrix().select("i", "j", rounded("value").alias("value"))
 
 
+@query(f"WITH {SUPPLY} SELECT src::BIGINT AS src, dst::BIGINT AS dst, round(weight, 6) AS weight FROM e WHERE src <= dst")
+def edge_weights(spark, d):
+    return supply(spark, d).edge_weights(directed=False).select("src", "dst", rounded("weight").alias("weight"))
+
+
+@query(f"""WITH {SUPPLY}, {RANK}, h AS (SELECT * FROM r WHERE k <= 1) SELECT 'supply' AS name, true AS weighted, true AS directed, (SELECT count(*) FROM e)::BIGINT AS edges
+UNION ALL SELECT 'nearest', false, true, (SELECT count(DISTINCT (least(s, t), greatest(s, t))) * 2 FROM h)::BIGINT""")
+def graph_flags(spark, d):
+    rows = [(name, g.is_weighted(), g.is_directed(), g.copy().num_edges()) for name, g in (("supply", supply(spark, d)), ("nearest", pairs_1nn(spark, d)))]
+    return spark.createDataFrame(rows, "name string, weighted boolean, directed boolean, edges long")
+
+
 NEW = f"n AS (SELECT DISTINCT l_suppkey AS src, l_partkey + {PART} AS dst FROM lineitem WHERE l_returnflag = 'R')"
 
 
@@ -429,6 +501,15 @@ def reweight_by_distance(spark, d):
     return g.reweight_by_distance(own).edges.select("src", "dst", rounded("weight").alias("weight"))
 
 
+@query(f"WITH {P}, r AS (SELECT vec_id AS s, (vec_id + 1) % (SELECT count(*) FROM embeddings) AS t FROM embeddings) SELECT s AS src, t::BIGINT AS dst, round(list_max(list_transform(list_zip(a.x, b.x), lambda z: abs(z[1] - z[2]))), 6) AS weight FROM r JOIN p a ON a.id = s JOIN p b ON b.id = t")
+def reweight_by_callable(spark, d):
+    """A metric of the user's own, from two stacks of points to a matrix: the largest difference of a coordinate."""
+    own = points(spark, d)
+    n = own.count()
+    g = Graph(own.select("id"), own.select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"), F.lit(1.0).alias("weight")))
+    return g.reweight_by_distance(own, lambda a, b: abs(a[:, None] - b[None]).max(2)).edges.select("src", "dst", rounded("weight").alias("weight"))
+
+
 @query(f"WITH {RANK}, e AS (SELECT * FROM r WHERE k <= 5) SELECT s AS src, t AS dst, round(exp(-d / (SELECT stddev_pop(d) FROM e)), 6) AS weight FROM e")
 def kernelize_rbf(spark, d):
     return knn(spark, d).kernelize("rbf").edges.select("src", "dst", rounded("weight").alias("weight"))
@@ -679,9 +760,21 @@ def layout_circle(spark, d):
     return g.layout_circle().select("id", rounded("x").alias("x"), rounded("y").alias("y"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TRADE}, y AS (SELECT src, dst, sum(weight) / 2 AS w FROM (SELECT * FROM e UNION ALL SELECT dst, src, weight FROM e) GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM v),
+s(k, id, px, py) AS (SELECT 0, id, cos(id * 2.0)::DOUBLE, sin(id * 3.0)::DOUBLE FROM v UNION ALL (
+  SELECT k + 1, id, px + mx * 0.1 * (1 - k / 51.0::DOUBLE) / greatest(sqrt(mx * mx + my * my), 0.01), py + my * 0.1 * (1 - k / 51.0::DOUBLE) / greatest(sqrt(mx * mx + my * my), 0.01)
+  FROM (SELECT k, id, any_value(px) AS px, any_value(py) AS py, sum(dx * f) AS mx, sum(dy * f) AS my FROM (
+    SELECT k, id, px, py, dx, dy, 1 / n / dist - coalesce(1 / w, 0) * sqrt(n) * dist * dist AS f FROM (
+      SELECT a.k, a.id, a.px, a.py, a.px - b.px AS dx, a.py - b.py AS dy, greatest(sqrt((a.px - b.px) ** 2 + (a.py - b.py) ** 2), 1e-8) AS dist, y.w, n.n::DOUBLE AS n
+      FROM s a JOIN s b ON a.k = b.k CROSS JOIN n LEFT JOIN y ON y.src = a.id AND y.dst = b.id WHERE a.k < 50)) GROUP BY k, id)))
+SELECT id, round(px, 4) + 0.0 AS x, round(py, 4) + 0.0 AS y FROM s WHERE k = 50""")
 def layout_spring(spark, d):
-    return _coords(trade(spark, d).layout_spring(iterations=20))
+    import numpy as np
+
+    g = trade(spark, d).symmetrize("avg")
+    ids = np.arange(g.num_vertices())
+    own = g.layout_spring(initial_layout=np.column_stack([np.cos(2.0 * ids), np.sin(3.0 * ids)]))
+    return own.select("id", *[(F.round(F.col("coords")[i], 4) + F.lit(0.0)).alias(c) for i, c in enumerate(("x", "y"))])
 
 
 # -- labels --------------------------------------------------------------------------------------------------------------------
@@ -696,7 +789,15 @@ def color_greedy(spark, d):
     return knn(spark, d).symmetrize("max").color_greedy()
 
 
-@query()
+# The trade between nations with both ways' mean: neighbours as lists by place. Repeated products with the matrix turn any start to the leading vector.
+AVG = f"{TRADE}, y AS (SELECT src, dst, sum(weight) / 2 AS w FROM (SELECT * FROM e UNION ALL SELECT dst, src, weight FROM e) GROUP BY 1, 2)"
+
+
+@query(f"""WITH RECURSIVE {AVG}, g AS (SELECT dst AS id, sum(w) AS g FROM y GROUP BY 1), o AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM v),
+m AS MATERIALIZED (SELECT a.i, list(CASE WHEN a.id = b.id THEN coalesce(g.g, 0) ELSE -coalesce(y.w, 0) END ORDER BY b.i) AS l FROM o a JOIN o b ON true LEFT JOIN g ON g.id = a.id LEFT JOIN y ON y.src = a.id AND y.dst = b.id GROUP BY a.i),
+ms AS MATERIALIZED (SELECT list(l ORDER BY i) AS ms FROM m),
+q(k, f) AS (SELECT 0, list(sin(i * 1.7)::DOUBLE ORDER BY i) FROM o UNION ALL SELECT k + 1, list_transform(x, lambda z: z / sqrt(list_sum(list_transform(x, lambda r: r * r)))) FROM (SELECT k, list_transform(ms, lambda l: list_dot_product(l, f)) AS x FROM q, ms WHERE k < 3000))
+SELECT id, (f[i] > 0) = (f[1] > 0) AS color FROM q, o WHERE k = 3000""")
 def bicolor_spectral(spark, d):
     return trade(spark, d).symmetrize("avg").bicolor_spectral()
 
@@ -730,17 +831,32 @@ def label_spreading(spark, d):
     return out.where("value > 0").select("id", "label", rounded("value").alias("value"))
 
 
-@query()
+# As many rounds as it takes until all changes sum to 0.001, 30 at most.
+@query(f"""WITH RECURSIVE {LGC.replace("f.n < 4", "f.n < 30").replace("n < 4", "n < 30")}, gap AS (SELECT a.n, sum(abs(a.v - coalesce(b.v, 0))) AS g FROM f a LEFT JOIN f b ON b.n = a.n - 1 AND b.id = a.id AND b.label = a.label WHERE a.n > 0 GROUP BY a.n),
+last AS (SELECT coalesce(min(n) FILTER (WHERE g <= 0.001), 30) AS n FROM gap)
+SELECT p.id, coalesce((SELECT arg_min(label, (-v, label)) FROM f, last WHERE f.n = last.n AND f.id = p.id AND v > 0), (SELECT min(label) FROM k))::INTEGER AS label FROM p""")
 def classify_lgc(spark, d):
     return knn(spark, d).symmetrize("avg").classify_lgc(partial(spark, d))
 
 
-@query()
+WAYS = f"{RANK}, e AS (SELECT s, t, d AS w FROM r WHERE k <= 5), b AS (SELECT s AS i, t AS j, sum(w) / 2 AS w FROM (SELECT * FROM e UNION ALL SELECT t, s, w FROM e) GROUP BY s, t)"
+
+
+# Unknown vertices take the mean of their neighbours, round by round.
+@query(f"""WITH RECURSIVE {WAYS}, m AS MATERIALIZED (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM b), k AS (SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 3 = 0),
+f(n, id, label, v) AS (SELECT 0, id, label, 1::DOUBLE FROM k UNION ALL (SELECT n + 1, id, label, sum(v) FROM (
+SELECT f.n, m.i AS id, f.label, m.w * f.v AS v FROM f JOIN m ON m.j = f.id WHERE f.n < 150 AND m.i % 3 <> 0 UNION ALL SELECT q.n, k.id, k.label, 1 FROM k, (SELECT DISTINCT n FROM f WHERE n < 150) q) GROUP BY n, id, label)),
+x AS (SELECT id, label, v FROM f WHERE n = 150 AND id % 3 <> 0), mass AS (SELECT label, (1 + (SELECT count(*) FROM k WHERE k.label = x.label)) / sum(v) AS c FROM x GROUP BY label)
+SELECT id, label::INTEGER AS label FROM k UNION ALL SELECT id, arg_max(label, (v * c, -label))::INTEGER FROM x JOIN mass USING (label) GROUP BY id""")
 def classify_harmonic(spark, d):
     return knn(spark, d).symmetrize("avg").classify_harmonic(partial(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {WAYS}, x AS (SELECT i, j, exp(-w / (SELECT stddev_pop(w) FROM b)) AS w FROM b), g AS (SELECT j AS id, sqrt(sum(w)) AS q FROM x GROUP BY 1),
+m AS MATERIALIZED (SELECT i, j, w / a.q / z.q AS w FROM x JOIN g a ON a.id = i JOIN g z ON z.id = j), y AS (SELECT id, x[1] AS y FROM p WHERE id % 2 = 0), mean AS (SELECT avg(y) AS m FROM y),
+f(n, id, v) AS (SELECT 0, id, y - m FROM y, mean UNION ALL (SELECT n + 1, id, sum(v) FROM (SELECT f.n, m.i AS id, m.w * f.v AS v FROM f JOIN m ON m.j = f.id WHERE f.n < 150 AND m.i % 2 = 1
+UNION ALL SELECT q.n, y.id, y.y - mean.m FROM y, mean, (SELECT DISTINCT n FROM f WHERE n < 150) q) GROUP BY n, id))
+SELECT p.id, round(coalesce(v, 0) + m, 6) + 0.0 AS y FROM p CROSS JOIN mean LEFT JOIN f ON f.id = p.id AND f.n = 150""")
 def regression(spark, d):
     known = points(spark, d).where("id % 2 = 0").select("id", F.col("x")[0].alias("y"))
     return knn(spark, d).symmetrize("avg").regression(known).select("id", rounded("y").alias("y"))
@@ -749,7 +865,13 @@ def regression(spark, d):
 # -- orders and sinks ----------------------------------------------------------------------------------------------------------
 
 
-@query()
+# The queue is the order itself: each step looks at its next vertex and puts the unseen neighbours at its end, or begins a new part.
+@query(f"""WITH RECURSIVE {RANK}, b AS (SELECT s, t FROM r WHERE k <= 5 UNION SELECT t, s FROM r WHERE k <= 5), g AS (SELECT s, count(*) AS g FROM b GROUP BY s),
+near AS MATERIALIZED (SELECT b.s, list(b.t ORDER BY g.g, b.t) AS near FROM b JOIN g ON g.s = b.t GROUP BY b.s), starts AS MATERIALIZED (SELECT list(id ORDER BY coalesce(g, 0), id) AS starts FROM p LEFT JOIN g ON g.s = p.id),
+q(k, o) AS (SELECT 0, []::BIGINT[] UNION ALL SELECT k + 1, CASE WHEN k = len(o) THEN list_append(o, list_filter(starts, lambda z: NOT list_contains(o, z))[1]) ELSE o END
+|| list_filter(coalesce((SELECT near FROM near WHERE s = CASE WHEN k = len(o) THEN list_filter(starts, lambda z: NOT list_contains(o, z))[1] ELSE o[k + 1] END), []), lambda z: NOT list_contains(o, z) AND z <> CASE WHEN k = len(o) THEN list_filter(starts, lambda y: NOT list_contains(o, y))[1] ELSE -1 END)
+FROM q, starts WHERE k < len(starts)), last AS (SELECT list_reverse(o) AS o FROM q, starts WHERE k = len(starts)), place AS (SELECT unnest(o) AS id, generate_subscripts(o, 1) - 1 AS i FROM last)
+SELECT x.i::BIGINT AS src, y.i::BIGINT AS dst FROM b JOIN place x ON x.id = b.s JOIN place y ON y.id = b.t""")
 def cuthill_mckee(spark, d):
     return knn(spark, d).symmetrize("max").cuthill_mckee().pairs()
 

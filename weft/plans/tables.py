@@ -13,10 +13,13 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that every executor sees: ``spark.checkpoint.dir``. A temporary one is taken where that is unset and driver and executors are
+    one process, as in tests; on a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext.getCheckpointDir()
+        if not held and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = held or tempfile.mkdtemp(prefix="weft-")
         if not held:
             spark.sparkContext.setCheckpointDir(found)
