@@ -39,7 +39,7 @@ def connected_components(graph: Graph, *, connection: str = "weak", local_edges:
         roots = _local_strong(graph) if graph.edges.count() <= local_edges else _strong(graph)
     else:
         edges = graph.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-        roots = _local_roots(edges) if edges.count() <= local_edges else _components.connected_components(edges)
+        roots = _components.connected_components(edges)
     own = graph.vertices.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     from weft.graph import numbered
 
@@ -47,24 +47,6 @@ def connected_components(graph: Graph, *, connection: str = "weak", local_edges:
     return own.join(names, "root").select("id", "component", "root")
 
 
-def _local_roots(edges: DataFrame) -> DataFrame:
-    """Components of a counted number of edges in one process: smallest labels spread, and labels' labels follow."""
-    e = edges.toPandas()
-    ids, flat = np.unique(np.concatenate([e["a"].to_numpy(np.int64), e["b"].to_numpy(np.int64)]), return_inverse=True)
-    a, b = flat[: len(e)], flat[len(e) :]
-    label = np.arange(len(ids))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all() and (label[a] == label[b]).all():
-            break
-        label = new
-    return edges.sparkSession.createDataFrame(list(zip(ids.tolist(), ids[label].tolist(), strict=True)), "id long, root long")
-
-
 def _local_strong(graph: Graph) -> DataFrame:
     """Strong components of a counted number of edges in one process: one search, in which a vertex that leads back to none before it
     closes a component."""

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a counted side of a join is broadcast (about 16 bytes each where this is used).
 BROADCAST_ROWS = 1_000_000
+#: Bytes on disk up to which a materialised side is broadcast; in memory it is two to three times as large.
+BROADCAST_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,14 +48,23 @@ def discard(df: DataFrame | None) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
-def looked_up(rows: DataFrame, keys: DataFrame, on: str, n_keys: int, *, how: str = "inner", limit: int = BROADCAST_ROWS, salts: int = 1) -> DataFrame:
-    """Equi-join of ``rows`` with ``keys``, of which there are ``n_keys``, each once: broadcast only up to ``limit`` of them.
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes that ``materialize`` wrote for ``df``."""
+    target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._weft_path)
+    return target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).getContentSummary(target).getLength()
+
+
+def looked_up(
+    rows: DataFrame, keys: DataFrame, on: str, n_keys: int | None = None, *, how: str = "inner", limit: int = BROADCAST_ROWS, salts: int = 1, of: DataFrame | None = None
+) -> DataFrame:
+    """Equi-join of ``rows`` with ``keys``, each of which is there once: broadcast by hand only what has a known size. That is either their number ``n_keys``, up to
+    ``limit``, or, without a count, the bytes of the materialised table ``of`` which ``keys`` is a selection (by default they themselves), up to ``BROADCAST_BYTES``.
 
     Beyond it both sides are shuffled. A key with a large share of the rows is split by adaptive execution, which repeats only the keys of
     the partitions it splits; where such keys are sure and keys are few beside rows, ``salts`` deals each key's rows over so many tasks
     beforehand, whatever the size.
     """
-    if n_keys <= limit:
+    if n_keys <= limit if n_keys is not None else stored_bytes(keys if of is None else of) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(keys), on, how)
     if salts == 1:
         return rows.join(keys, on, how)
