@@ -34,6 +34,8 @@ PARTS = 32
 CACHE_WORDS = 150_000
 #: Members of a group for each task that makes its remaining pairs, and the ratio of sizes within a size class.
 SPREAD, CLASS = 256, 1.05
+#: Pairs of one member for each task that verifies them.
+VERIFY = 32
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _XOR = _RNG.integers(0, 2**64, BANDS * ROWS, np.uint64)[:, None]
@@ -137,7 +139,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: int) -> DataFrame:
     """Pairs ``a, b`` whose full sets are similar enough.
 
-    Texts travel, not sets: they are smaller. Pairs are dealt by ``b`` (over several tasks where it has more than ``SPREAD``), its text in
+    Texts travel, not sets: they are smaller. Pairs are dealt by ``b`` (over several tasks where it has more than ``VERIFY``), its text in
     front of those of its pairs, so it is sent once to each task, and a task holds one set at a time.
     """
 
@@ -160,10 +162,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, si
 
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = materialize(ends.join(nodes.select("node", F.col("rep").alias("doc_id")), "node"), "wanted")
-    texts = materialize(looked_up(docs, wanted, "doc_id", wanted.count()).select("node", "text"), "texts")
-    tasks = materialize(pairs.groupBy("b").agg(F.ceil(F.count("*") / SPREAD).alias("tasks")), "tasks")
+    texts = materialize(looked_up(docs, wanted, "doc_id").select("node", "text"), "texts")
+    tasks = materialize(pairs.groupBy("b").agg(F.ceil(F.count("*") / VERIFY).alias("tasks")), "tasks")
     heads = tasks.join(texts.withColumnRenamed("node", "b"), "b").select("b", F.lit(None).cast("long").alias("a"), "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"))
-    rows = looked_up(pairs.select("a", "b"), tasks, "b", tasks.count()).join(texts.withColumnRenamed("node", "a"), "a")
+    rows = looked_up(pairs.select("a", "b"), tasks, "b").join(texts.withColumnRenamed("node", "a"), "a")
     rows = rows.select("b", "a", "text", F.pmod(F.xxhash64("a"), F.col("tasks")).alias("task"))
     dealt = heads.union(rows).repartition("b", "task").sortWithinPartitions("b", "task", F.asc_nulls_first("a")).drop("task")
     out = materialize(dealt.mapInArrow(worker, "a long, b long").distinct(), "links")
@@ -190,21 +192,20 @@ def _other(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Pairs whose ends are in different components."""
     if roots is None:
         return pairs
-    n = roots.count()
-    out = looked_up(pairs, roots.select(F.col("id").alias("a"), F.col("root").alias("_a")), "a", n, how="left")
-    out = looked_up(out, roots.select(F.col("id").alias("b"), F.col("root").alias("_b")), "b", n, how="left")
+    out = looked_up(pairs, roots.select(F.col("id").alias("a"), F.col("root").alias("_a")), "a", of=roots, how="left")
+    out = looked_up(out, roots.select(F.col("id").alias("b"), F.col("root").alias("_b")), "b", of=roots, how="left")
     return out.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select(*pairs.columns)
 
 
 def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """``rows`` of the groups ``key`` whose members ``node`` are in several components, with the member's ``root``, the number ``m``
     of the group's rows and its largest component ``top``."""
-    own = looked_up(rows, roots.select(F.col("id").alias("node"), "root"), "node", roots.count(), how="left")
+    own = looked_up(rows, roots.select(F.col("id").alias("node"), "root"), "node", of=roots, how="left")
     own = materialize(own.withColumn("root", F.coalesce("root", "node")), "members")
     sizes = own.groupBy("key", "root").agg(F.count("*").alias("m"))
     keys = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("top"))
     keys = materialize(keys.where("roots > 1").select("key", "m", F.col("top.root").alias("top")), "open-keys")
-    return looked_up(own, keys, "key", keys.count())
+    return looked_up(own, keys, "key")
 
 
 def _central(members: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -212,10 +213,10 @@ def _central(members: DataFrame, roots: DataFrame, links: DataFrame) -> DataFram
     rows = materialize(_open(members.where("n > 2").select("key", "node"), roots), "open")
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("d"))
     degree = materialize(degree, "degrees")
-    inside = looked_up(rows.where("root = top").select("key", "node"), degree, "node", degree.count(), how="left")
+    inside = looked_up(rows.where("root = top").select("key", "node"), degree, "node", how="left")
     best = inside.groupBy("key").agg(F.max(F.struct(F.coalesce("d", F.lit(0)).alias("d"), "node")).alias("h"))
     best = materialize(best.select("key", F.col("h.node").alias("b")), "hubs")
-    pairs = looked_up(rows.where("root <> top").select("key", F.col("node").alias("a")), best, "key", best.count())
+    pairs = looked_up(rows.where("root <> top").select("key", F.col("node").alias("a")), best, "key")
     return pairs.select("a", "b").distinct()
 
 
@@ -268,7 +269,7 @@ def _apart(members: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFra
     several = members.where("n > 2").select("key", "node")  # the pair of a bucket of two was tried
     opened = _open(several, roots).select("node").distinct()
     wanted = materialize(opened.join(nodes.select("node", F.col("rep").alias("doc_id")), "node"), "wanted")
-    own = materialize(looked_up(docs, wanted, "doc_id", wanted.count()).select("node", "text").mapInArrow(sets, "node long, tokens array<long>").dropDuplicates(["node"]), "sets")
+    own = materialize(looked_up(docs, wanted, "doc_id").select("node", "text").mapInArrow(sets, "node long, tokens array<long>").dropDuplicates(["node"]), "sets")
     counts = np.zeros(slots, np.int64)  # how often tokens occur, by a hash: bounded, and only the order of a prefix depends on it
     seen = own.select("tokens").mapInArrow(counted, "slot long, m long").groupBy("slot").agg(F.sum("m").alias("m")).toArrow()
     counts[seen["slot"].to_numpy()] = seen["m"].to_numpy()
@@ -342,12 +343,11 @@ def _grouped(docs: DataFrame, size: int, similarity: int) -> DataFrame:
         discard(roots)
         roots = connected_components(links)
 
-    n = roots.count()
-    named = looked_up(nodes.select("node", "rep", "copies"), roots.withColumnRenamed("id", "node"), "node", n, how="left")
+    named = looked_up(nodes.select("node", "rep", "copies"), roots.withColumnRenamed("id", "node"), "node", of=roots, how="left")
     smallest = named.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = looked_up(named, smallest, "root", n, how="left").where("root IS NOT NULL OR copies > 1")
+    named = looked_up(named, smallest, "root", of=roots, how="left").where("root IS NOT NULL OR copies > 1")
     named = materialize(named.select("node", "root", F.coalesce("component_id", "rep").alias("component_id")), "components")
-    return looked_up(signed.drop("sig"), named, "node", named.count(), how="left")
+    return looked_up(signed.drop("sig"), named, "node", how="left")
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -377,7 +377,7 @@ def keep_first(docs: DataFrame, *, size: int = 5, similarity: int = SIMILARITY,
     rows = materialize(rows, "texts-of-ids")
     first = rows.where("root IS NOT NULL").groupBy("root").agg(F.count("*").alias("k"), F.min(F.struct("doc_id", "h")).alias("first")).where("k > 1")
     first = materialize(first.select("root", "first"), "first")
-    rest = looked_up(rows, first, "root", first.count()).where(F.struct("doc_id", "h") != F.col("first"))
+    rest = looked_up(rows, first, "root").where(F.struct("doc_id", "h") != F.col("first"))
     gone = materialize(rest.select(F.col("doc_id").alias("_gone"), F.col("h").alias("_hash")), "duplicates")
     again = materialize(rows.where("m > 1").select(F.col("doc_id").alias("_gone"), F.col("h").alias("_hash")), "repeated")
     n_gone, n_again = gone.count(), again.count()
