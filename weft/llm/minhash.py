@@ -163,13 +163,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, si
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = materialize(ends.join(nodes.select("node", F.col("rep").alias("doc_id")), "node"), "wanted")
     texts = materialize(looked_up(docs, wanted, "doc_id").select("node", "text"), "texts")
-    tasks = materialize(pairs.groupBy("b").agg(F.ceil(F.count("*") / VERIFY).alias("tasks")), "tasks")
+    tasks = pairs.groupBy("b").agg(F.ceil(F.count("*") / VERIFY).alias("tasks"))
     heads = tasks.join(texts.withColumnRenamed("node", "b"), "b").select("b", F.lit(None).cast("long").alias("a"), "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"))
-    rows = looked_up(pairs.select("a", "b"), tasks, "b").join(texts.withColumnRenamed("node", "a"), "a")
+    rows = pairs.select("a", "b").join(tasks, "b").join(texts.withColumnRenamed("node", "a"), "a")
     rows = rows.select("b", "a", "text", F.pmod(F.xxhash64("a"), F.col("tasks")).alias("task"))
     dealt = heads.union(rows).repartition("b", "task").sortWithinPartitions("b", "task", F.asc_nulls_first("a")).drop("task")
     out = materialize(dealt.mapInArrow(worker, "a long, b long").distinct(), "links")
-    for old in (wanted, texts, tasks):
+    for old in (wanted, texts):
         discard(old)
     return out
 
@@ -323,14 +323,12 @@ def _grouped(docs: DataFrame, size: int, similarity: int) -> DataFrame:
     best = alike.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b"))
     links = _verified(best, nodes, docs, size, similarity)
     roots = connected_components(links)
-    rest = _verified(materialize(_other(alike, roots).join(best, ["a", "b"], "left_anti"), "rest"), nodes, docs, size, similarity)
-    links = links.union(rest)
-    discard(roots)
-    roots = connected_components(links)
 
-    # Members outside the largest component of a bucket against the one with most links in it: copies lie around their source.
+    # What is still apart: the other pairs that were alike, and members outside the largest component of a bucket with the one that has most links in it,
+    # since copies lie around their source.
     central = materialize(_central(members, roots, links).join(tried, ["a", "b"], "left_anti"), "central")
-    links = links.union(_verified(materialize(_alike(central, nodes, similarity), "alike"), nodes, docs, size, similarity))
+    rest = _other(alike, roots).join(best, ["a", "b"], "left_anti").select("a", "b").union(_alike(central, nodes, similarity).select("a", "b"))
+    links = links.union(_verified(materialize(rest, "rest"), nodes, docs, size, similarity))
     discard(roots)
     roots = connected_components(links)
 

@@ -137,3 +137,27 @@ FROM r
 
 
 OP7 = _op7()
+
+# Exact sets; pairs of distinct sets by shingles in common; the smallest id along links, round by round.
+OP8 = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+),
+s AS MATERIALIZED (
+  SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS s FROM d
+),
+c AS MATERIALIZED (SELECT row_number() OVER () AS node, min(doc_id) AS rep, len(any_value(s)) AS n, any_value(s) AS s FROM s WHERE len(s) > 0 AND doc_id IS NOT NULL GROUP BY md5(array_to_string(s, chr(1)))),
+x AS MATERIALIZED (SELECT node, n, unnest(s) AS h FROM c),
+y AS (SELECT x.*, row_number() OVER (PARTITION BY node ORDER BY f, h) AS at FROM x JOIN (SELECT h, count(*) AS f FROM x GROUP BY h) USING (h)),
+-- sets that share 0.8 have one of their rarest fifth, and one more, in common
+near AS (SELECT DISTINCT a.node AS a, b.node AS b FROM y a JOIN y b ON a.h = b.h AND a.node < b.node WHERE a.at <= a.n - ceil(0.8 * a.n) + 1 AND b.at <= b.n - ceil(0.8 * b.n) + 1 AND 10 * a.n >= 8 * b.n AND 10 * b.n >= 8 * a.n),
+link AS MATERIALIZED (
+  SELECT a, b FROM (SELECT a, b, p.n + q.n AS t, len(list_intersect(p.s, q.s)) AS k FROM near JOIN c p ON p.node = a JOIN c q ON q.node = b) WHERE 100 * k >= 80 * (t - k)
+),
+e AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+r(v, l) USING KEY (v) AS (SELECT node, rep FROM c UNION (SELECT e.b, min(r.l) FROM r JOIN e ON e.a = r.v JOIN recurring.r o ON o.v = e.b WHERE r.l < o.l GROUP BY e.b)),
+k AS (SELECT md5(array_to_string(c.s, chr(1))) AS h, r.l FROM r JOIN c ON c.node = r.v)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CASE WHEN s.doc_id IS NOT NULL THEN coalesce(k.l, s.doc_id) END AS component_id, coalesce(s.doc_id = coalesce(k.l, s.doc_id), true) AS kept
+FROM s LEFT JOIN k ON len(s.s) > 0 AND k.h = md5(array_to_string(s.s, chr(1))) AND s.doc_id IS NOT NULL
+"""

@@ -74,4 +74,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": oracles.OP1, "op3_decontaminate": oracles.OP3, "op6_chat_format": oracles.OP6, "op7_quality_rules": oracles.OP7}
+    return {"op1_line_dedup": oracles.OP1, "op3_decontaminate": oracles.OP3, "op6_chat_format": oracles.OP6, "op7_quality_rules": oracles.OP7, "op8_near_duplicates": oracles.OP8}
