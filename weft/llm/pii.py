@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, text_batches
 
-#: Bound of the sample of candidates that the span classifier is trained on.
-SAMPLE_CANDIDATES = 20_000
+#: Bound of the sample of candidates that the span classifier is trained on, in all and for each combination of votes.
+SAMPLE_CANDIDATES, SAMPLE_EACH = 20_000, 200
 ROUNDS = 60
 THRESHOLD = 0.5
 
@@ -42,6 +42,8 @@ _DIGIT = re.compile("[0-9]")
 _NON_DIGIT = re.compile("[^0-9]+")
 _LONG_NUMBER = re.compile(r"[0-9](?:[\x20-]?[0-9]){15}")
 _DOTTED = re.compile(r"[0-9]\.[0-9]")
+#: Numbers that single dots join. Each begins where no digit is before, and nothing is tried twice, so a long run of digits is read once.
+_CHAIN = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
 _EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+-]+")
 
 
@@ -72,6 +74,12 @@ def _matches(kind: str, text: str) -> Iterator[tuple[int, int]]:
             return
     elif kind == "card" and not _LONG_NUMBER.search(text) or kind == "ip" and not _DOTTED.search(text):
         return
+    if kind == "ip":  # the matches of a chain are its numbers, four by four
+        for m in _CHAIN.finditer(text):
+            ends = [m.start() - 1, *(m.start() + k for k, c in enumerate(m[0]) if c == "."), m.end()]
+            for k in range(0, len(ends) - 4, 4):
+                yield ends[k] + 1, ends[k + 4]
+        return
     if kind != "email":
         for m in BASE[kind].finditer(text):
             yield m.span()
@@ -95,41 +103,80 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [(k, a, b) for k in BASE for a, b in _matches(k, text) if _accepted(k, text[a:b])]
 
 
-# Candidates: assignments of secrets, keys, numbers in groups, and handles.
+# Candidates: assignments of secrets, keys, account numbers, numbers in groups, handles, addresses, and names after a title or with a known first name.
 _CANDIDATE = re.compile(
     r"(?P<assigned>\b[A-Za-z_]{2,20}[ ]?[=:][ ]?[\"']?[A-Za-z0-9+/_.@-]{6,}[\"']?)"
+    r"|(?P<account>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)"
     r"|(?P<key>\b(?=[A-Z0-9]*[0-9])[A-Z][A-Z0-9]{11,}\b)"
     r"|(?P<hex>\b(?=[0-9a-f]*[0-9])[0-9a-f]{16,}\b)"
+    r"|(?P<address>\b[0-9]{1,5}[ ][A-Z][a-z]{2,20}(?:[ ][A-Z][a-z]{2,20})?[ ](?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd|Drive|Court|Ct|Square|Way)\b"
+    r"|\b[A-ZÄÖÜ][a-zäöüß]{2,25}(?:straße|strasse|weg|platz|allee|gasse)[ ][0-9]{1,4}[a-z]?\b"
+    r"|\b(?:[Rr]ue|[Cc]alle|[Aa]venida|[Pp]laza|[Aa]venue|[Vv]ia)[ ](?:(?:de|del|la|du|des)[ ]){0,2}[A-ZÀ-Þ][a-zà-ÿ]{2,20},?[ ][0-9]{1,4}\b)"
     r"|(?P<number>\b[0-9]{2,4}(?:[ -][0-9]{2,6}){1,4}\b)"
+    r"|(?P<identity>\b[0-9]{8}-?[A-Z]\b)"
     r"|(?P<handle>(?<!\S)@[A-Za-z0-9_]{3,30}\b)"
+    r"|(?P<name>\b(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sr|Sra|Mme|Mlle)\.?[ ])?[A-ZÀ-Þ][a-zà-ÿ]{1,20}(?:[ ][A-ZÀ-Þ][a-zà-ÿ]{1,20}){1,6}\b)"
 )
 #: A cheap test before the pattern: whatever ``_CANDIDATE`` matches holds one of these.
-_MAYBE = re.compile(r"[0-9][ -][0-9]|[0-9a-f]{16}|[A-Z][A-Z0-9]{11}|[=:@]")
+_MAYBE = re.compile(r"[0-9][ -][0-9]|[0-9a-f]{16}|[A-Z][A-Z0-9]{11}|[=:@]|[A-Z]{2}[0-9]{2}|[0-9][ ][A-Z]|[a-zà-ÿ],?[ ](?:[0-9]|[A-ZÀ-Þ][a-zà-ÿ])|[.][ ][A-ZÀ-Þ]|[0-9]{8}-?[A-Z]")
 _ALNUM = re.compile(r"[A-Za-z0-9]")
-# Gazetteers of the words that name a secret or a person's number, and of those that name something else.
+# Gazetteers of the words that name a secret or a person's number, of those that name something else, and of those around a person's name.
 _SECRET_WORDS = frozenset("password passwd pwd token secret apikey api_key access_key auth bearer credential pin passcode clave passwort kennwort".split())
-_PERSON_WORDS = frozenset("phone tel telephone mobile call fax ssn passport account iban id konto telefon compte tarjeta".split())
-_OTHER_WORDS = frozenset("version page isbn issn vol no figure fig table section chapter year http https license line v".split())
+_PERSON_WORDS = frozenset("phone tel telephone mobile call fax ssn passport account iban id konto telefon compte tarjeta social security insurance licence dni nif patient employee".split())
+_OTHER_WORDS = frozenset("version page pages isbn issn vol no figure fig table section chapter year years http https license line lines v part room born since until".split())
+_NAME_WORDS = frozenset("name named signed sincerely regards dear contact patient customer employee author called by from attn nombre nom".split())
+_TITLES = frozenset("Mr Mrs Ms Dr Prof Herr Frau Sr Sra Mme Mlle".split())
+# Common first names of four languages.
+_FIRST_NAMES = frozenset(
+    "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Mark Steven Paul Andrew Kevin Brian George Edward Peter Henry Jack Oliver Harry "
+    "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Donna Michelle Laura Emma Olivia Alice Anna Jane Kate Helen "
+    "Hans Klaus Jürgen Wolfgang Uwe Stefan Andreas Matthias Tobias Florian Lukas Jonas Felix Greta Heike Ursula Monika Sabine Petra Claudia Katharina Ingrid Lena "
+    "José Juan Antonio Manuel Francisco Javier Carlos Miguel Alejandro Pedro Pablo Diego Luis María Carmen Josefa Isabel Dolores Pilar Lucía Elena Marta Sofía "
+    "Jean Pierre Michel André Philippe Jacques Bernard Alain Claude Nicolas Julien Antoine Louis Marie Jeanne Françoise Monique Catherine Nathalie Isabelle Sylvie Camille Chloé Manon".split()
+)
 _KEY_HEADS = ("AKIA", "ASIA", "AIZA", "SK", "PK", "GH", "XOX")
-_DATE = re.compile(r"(?:19|20)[0-9]{2}[ -][0-9]{1,2}(?:[ -][0-9]{1,2})?$|(?:19|20)[0-9]{2}[ -](?:19|20)[0-9]{2}$")
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[ -][0-9]{1,2}(?:[ -][0-9]{1,2})?$|(?:19|20)[0-9]{2}[ -](?:19|20)[0-9]{2}$|[0-9]{1,2}-[0-9]{1,2}-(?:19|20)[0-9]{2}$")
+_SOCIAL = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
 _DIALLED = re.compile(r"\+[0-9][0-9 ().-]*$")
 _WORD_BEFORE = re.compile(r"([A-Za-z_]+)[^A-Za-z_]{0,4}$")
 
-LABELERS = ("shape", "head", "gazetteer", "context", "entropy", "not_date")
-FEATURES = 5 + len(LABELERS) * 2 + 4
+KINDS = ("assigned", "account", "key", "hex", "address", "number", "identity", "handle", "name")
+#: Kinds of added spans by kind of candidate.
+ADDED = {"assigned": "secret", "key": "secret", "hex": "secret", "account": "account", "address": "address", "identity": "number", "number": "number", "handle": "handle", "name": "name"}
+LABELERS = ("shape", "head", "gazetteer", "context", "entropy", "not_date", "checksum")
+FEATURES = len(KINDS) + len(LABELERS) * 2 + 4
 
 
-def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans that labelers vote on, besides those that overlap a base span."""
-    if not _MAYBE.search(text):
-        return []
-    out, spans = [], sorted((a, b) for _, a, b in taken)
+def _candidates(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    spans, at = [], 0
+    for a, b in sorted((a, b) for _, a, b in taken):  # joined where they overlap
+        if spans and a < spans[-1][1]:
+            spans[-1][1] = max(b, spans[-1][1])
+        else:
+            spans.append([a, b])
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
-        if any(x < b and a < y for x, y in spans):
+        while at < len(spans) and spans[at][1] <= a:
+            at += 1
+        if at < len(spans) and spans[at][0] < b:
             continue
-        out.append((m.lastgroup, a, b))
-    return out
+        if m.lastgroup == "name":
+            words = [(w[0].rstrip("."), a + w.start(), a + w.end()) for w in re.finditer(r"\S+", m[0])]
+            known = next((k for k, (w, _, _) in enumerate(words[:-1]) if w in _TITLES or w in _FIRST_NAMES), None)
+            if known is None:
+                continue
+            a, b = words[known][1], words[min(known + (3 if words[known][0] in _TITLES else 2), len(words)) - 1][2]
+        yield m.lastgroup, a, b
+
+
+def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans that labelers vote on, besides those that overlap a base span."""
+    return list(_candidates(text, taken)) if _MAYBE.search(text) else []
+
+
+def _remainder(account: str) -> int:
+    """Of an account number in the international form, by 97: 1 in a right one."""
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
 
 
 def _entropy(s: str) -> float:
@@ -145,23 +192,36 @@ def votes(text: str, kind: str, a: int, b: int) -> tuple[int, ...]:
     name, _, value = re.split(r"([=:])", span, maxsplit=1) if kind == "assigned" else ("", "", span)
     name, value = name.strip().lower(), value.strip(" \"'")
     has_digit, has_alpha = bool(_DIGIT.search(value)), any(c.isalpha() for c in value)
-    shape = 1 if kind in ("key", "hex") or kind == "assigned" and has_digit and has_alpha and len(value) >= 10 else -1 if not has_digit else 0
-    head = 1 if value.upper().startswith(_KEY_HEADS) and len(value) >= 16 and has_digit else 0
-    gazetteer = 1 if name in _SECRET_WORDS or name in _PERSON_WORDS else -1 if name in _OTHER_WORDS else 0
-    context = 1 if prior in _SECRET_WORDS or prior in _PERSON_WORDS or _DIALLED.search(text[max(0, a - 20) : a]) else -1 if prior in _OTHER_WORDS else 0
+    shape = 1 if kind in ("key", "hex", "address", "account") or kind == "assigned" and has_digit and has_alpha and len(value) >= 10 else -1 if kind == "assigned" and not has_digit else 0
+    head = 1 if value.upper().startswith(_KEY_HEADS) and len(value) >= 16 and has_digit and kind in ("key", "assigned") else 0
+    if kind == "name":
+        words = value.replace(".", "").split()
+        gazetteer = 1 if any(w in _FIRST_NAMES for w in words[:-1]) else 0
+        head = 1 if words[0] in _TITLES else 0
+        context = 1 if prior in _NAME_WORDS else 0
+    else:
+        gazetteer = 1 if name in _SECRET_WORDS or name in _PERSON_WORDS else -1 if name in _OTHER_WORDS else 0
+        context = 1 if prior in _SECRET_WORDS or prior in _PERSON_WORDS or _DIALLED.search(text[max(0, a - 20) : a]) else -1 if prior in _OTHER_WORDS else 0
     e = _entropy(value)
-    entropy = 1 if e >= 3.2 and has_digit and len(value) >= 12 else -1 if e < 2.2 else 0
-    date = -1 if kind == "number" and _DATE.search(value) else 1 if kind == "number" and len(_NON_DIGIT.sub("", value)) in (9, 10) else 0
-    return shape, head, gazetteer, context, entropy, date
+    entropy = 0 if kind in ("name", "address") else 1 if e >= 3.2 and has_digit and len(value) >= 12 else -1 if e < 2.2 else 0
+    digits = _NON_DIGIT.sub("", value)
+    date = 0 if kind != "number" else -1 if _DATE.search(value) else 1 if len(digits) in (9, 10) else 0
+    checksum = 0
+    if kind == "account":
+        checksum = 1 if _remainder(value.replace(" ", "")) == 1 else -1
+    elif kind == "identity":
+        checksum = 1 if "TRWAGMYFPDXBNJZSQVHLCKE"[int(digits) % 23] == value[-1] else -1
+    elif kind == "number" and len(digits) == 9:
+        checksum = 1 if _SOCIAL.match(value) else 0
+    return shape, head, gazetteer, context, entropy, date, checksum
 
 
 def features(text: str, kind: str, a: int, b: int, v: tuple[int, ...]) -> list[float]:
-    kinds = ("assigned", "key", "hex", "number", "handle")
     span = text[a:b]
     n = len(span)
     digits = len(_DIGIT.findall(span))
     return (
-        [float(kind == k) for k in kinds]
+        [float(kind == k) for k in KINDS]
         + [float(x == y) for x in v for y in (1, -1)]
         + [min(n, 60) / 60, digits / n, len(_ALNUM.findall(span)) / n, _entropy(span) / 6]
     )
@@ -215,8 +275,8 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.5, de
 
 def learn(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE_CANDIDATES) -> np.ndarray:
     """Weights of the span classifier. Vote combinations (at most 3 ** labelers) are counted over all documents; the classifier
-    is trained on at most ``sample`` candidates: of each combination, those with the smallest hashes, whatever the order of rows."""
-    each = max(1, sample // 3 ** len(LABELERS))
+    is trained on at most ``sample`` candidates: of each combination, ``SAMPLE_EACH`` or fewer, those with the smallest hashes, whatever the order of rows."""
+    each = SAMPLE_EACH
 
     def worker(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -240,6 +300,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE_CANDI
 
     seen = materialize(text_batches(docs).select(F.col(text_col).cast("string").alias("text")).mapInArrow(worker, "v string, n long, h long, f array<double>"), "pii-votes")
     patterns = {tuple(map(int, r[0].split(","))): r[1] for r in seen.groupBy("v").agg(F.sum("n")).collect()}
+    each = max(1, min(each, sample // max(len(patterns), 1)))
     by_hash = Window.partitionBy("v").orderBy("h", "f")
     rows = seen.select("v", "h", "f").withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= each).select("v", "h", "f").collect()
     discard(seen)
@@ -254,8 +315,8 @@ def learn(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE_CANDI
 def find(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Counts of base spans, a digest of them, and all spans of every document: ``kind:start:end`` in code points, end exclusive.
 
-    Added spans have the kind ``secret`` (assignments, keys, hexadecimal strings), ``number`` (digits only) or ``handle`` and come after the
-    base ones. A null text counts as empty. One row out per row in, repeated rows included; a null id stays null; other columns
+    Added spans have the kind ``secret`` (assignments, keys, hexadecimal strings), ``account``, ``number`` (groups of digits, identity numbers), ``name``, ``address`` or
+    ``handle`` and come after the base ones. A null text counts as empty. One row out per row in, repeated rows included; a null id stays null; other columns
     are ignored; nothing is shuffled.
     """
 
@@ -272,8 +333,8 @@ def find(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_c
                     if 1 in v:
                         z = float(np.dot(w[:-1], features(text, kind, lo, hi, v)) + w[-1])
                         if 1 / (1 + math.exp(-max(-500.0, min(500.0, z)))) >= threshold:
-                            plain = kind in ("number", "handle") or not any(map(str.isalpha, text[lo:hi]))
-                            added.append(("handle" if kind == "handle" else "number" if plain else "secret", lo, hi))
+                            plain = kind == "hex" and not any(map(str.isalpha, text[lo:hi]))
+                            added.append(("number" if plain else ADDED[kind], lo, hi))
                 n = Counter(k for k, _, _ in base)
                 line = ",".join(f"{k}:{lo}:{hi}" for k, lo, hi in base)
                 rest = ",".join(f"{k}:{lo}:{hi}" for k, lo, hi in sorted(added))
