@@ -504,3 +504,45 @@ def test_spanning_network_of_moons_and_a_roll(spark):
     wide = roll.agg(F.min("theta"), F.max("theta")).first()
     share = roll.select("id", F.array((F.col("theta") - wide[0]) / (wide[1] - wide[0])).alias("x"))
     assert weft.error_ratio(weft.manifold_spanning_graph(roll.select("id", "x"), 2), share).first().errors == 0
+
+
+def test_neighbors_in_cells_equal_all_pairs(spark, monkeypatch):
+    """Clustered points: cells that can't hold anything near enough never meet."""
+    from weft.operators import cells, neighbors
+
+    rng, met = np.random.default_rng(0), []
+    plan = cells.meetings
+
+    def counted(own, q, t, reach, *, apart):
+        out = plan(own, q, t, reach, apart=apart)
+        met.append((len(out), len(q[0]) * len(t[0])))
+        return out
+
+    monkeypatch.setattr(neighbors, "meetings", counted)
+    centres = rng.normal(size=(30, 3)) * 20
+    x = centres[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 3)) * 0.3
+    x[:50] = x[50:100]  # some coincide
+    own = points(spark, x)
+    other = points(spark, x[::7] + 0.1)
+    rows = lambda df: sorted((r.qid, r.tid, round(r.dist, 9), r["rank"]) for r in df.collect())
+    for q, kwargs in ((own, {"k": 4, "exclude_self": True}), (own, {"epsilon": 0.2}), (other, {"k": 3, "epsilon": 0.3, "metric": "manhattan"}), (other, {"k": 2, "metric": "sqeuclidean"}), (own, {"k": 2, "metric": "chebyshev"})):
+        assert rows(neighbors.neighbors(q, own, block=256, **kwargs)) == rows(neighbors.neighbors(q, own, block=10**6, **kwargs))
+    assert len(met) == 5 and all(a < 0.4 * b for a, b in met)
+
+
+def test_forest_of_points_by_rounds(spark):
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(150, 3)), 2)
+    x[3] = x[4]
+    own = points(spark, x)
+    key = lambda df: sorted((r.a, r.b, round(r.w, 9)) for r in df.collect())
+    assert key(spanning.forest_of_points(own, few=0)) == key(spanning.forest_of_points(own))
+
+
+def test_components_by_rounds_and_in_one_task(spark):
+    from weft.plans.components import connected_components
+
+    rng = np.random.default_rng(2)
+    rows = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(None, 3), (5, 5)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    assert sorted(map(tuple, connected_components(edges, one_task=0).collect())) == sorted(map(tuple, connected_components(edges).collect()))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from weft.functions.metrics import Metric, canonical, pairwise
 from weft.graph import Graph
-from weft.plans.linalg import points_to_numpy
+from weft.plans.linalg import LOCAL_VERTICES, points_to_numpy
+from weft.plans.tables import materialize
 
 from .neighbors import _points, all_pairs, blocked, stacked
 
@@ -44,11 +45,21 @@ def _without(points: DataFrame, metric: Metric, broken) -> DataFrame:
                 bad[s] = (broken(xa[s], xb[s], d[s], y) & other).any(1)
         return pa.table([pa.array(a[bad]), pa.array(b[bad])], ["a", "b"])
 
-    pairs = all_pairs(points, metric)
+    pairs = _sides(points) if metric == "euclidean" else None
+    pairs = all_pairs(points, metric) if pairs is None else pairs
     gone = blocked(_ends(points, pairs), _points(points), kernel, "a long, b long")
     return pairs.join(gone.distinct(), ["a", "b"], "left_anti")
 
 
+def _sides(points: DataFrame) -> DataFrame | None:
+    """``a, b, d``: in the plane only sides of the triangulation can have nothing in between; None where that doesn't apply (other
+    dimensions, points that coincide, or too many for it)."""
+    head = points.limit(LOCAL_VERTICES + 1).select(F.size("x").alias("n"), "x").agg(F.count("*").alias("n"), F.count_distinct("x").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi")).first()
+    if head.lo != 2 or head.hi != 2 or head.n > LOCAL_VERTICES or head.k < head.n:
+        return None
+    return materialize(_triangle_edges(points).select("a", "b", "d").distinct(), "sides")
+
+
 def gabriel_graph(points: DataFrame, *, metric: Metric = "euclidean", weighted: bool = False) -> Graph:
     """Pairs with no point nearer to their middle than themselves."""
     metric = metric if callable(metric) else canonical(metric)

@@ -1,7 +1,9 @@
 """Nearest neighbours and neighbour networks, exact, in blocks of points.
 
 Points are dealt into blocks; each pair of a query block and a target block is one NumPy kernel with bounded memory, which keeps
-the best of its pairs only. Blocks meet through a shuffle of points (n / block copies of each), never of pairs.
+the best of its pairs only. Blocks meet through a shuffle of points, never of pairs. Where there are several blocks and the metric obeys the triangle inequality,
+blocks are cells around pivots (``cells``): each meets itself first, which bounds how far its neighbours can be, and then only those that may hold something
+nearer. Other metrics let all blocks meet.
 """
 
 from __future__ import annotations
@@ -16,15 +18,11 @@ from pyspark.sql import functions as F
 
 from weft.functions.metrics import Metric, canonical, pairwise
 from weft.graph import Graph
+from weft.plans.tables import materialize
 
-BLOCK = 4096
-
+from .cells import BOUNDED, brought_together, cells, meetings, spread, stacked
 
-def stacked(column: pa.ChunkedArray) -> np.ndarray:
-    """An array column as a matrix."""
-    flat = column.combine_chunks()
-    values = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), float)
-    return values.reshape(len(flat), -1) if len(flat) else values.reshape(0, 0)
+BLOCK = 4096
 
 
 def blocked(query: DataFrame, targets: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str, *, block: int = BLOCK) -> DataFrame:
@@ -73,8 +71,34 @@ def neighbors(query: DataFrame, targets: DataFrame, *, metric: Metric = "euclide
         cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
         return pa.table([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(float))], ["qid", "tid", "dist"])
 
-    found = blocked(_points(query), _points(targets), kernel, "qid long, tid long, dist double", block=block)
-    return _ranked(found, k)
+    schema = "qid long, tid long, dist double"
+    n = targets.count()
+    if n <= block or metric not in BOUNDED or epsilon == math.inf:
+        return _ranked(blocked(_points(query), _points(targets), kernel, schema, block=block), k)
+    same = query is targets
+    targets = materialize(_points(targets), "targets")
+    own = cells(targets, n, metric, block)
+    targets = materialize(own.dealt(targets), "target-blocks")
+    query = targets.toDF(*targets.columns) if same else materialize(own.dealt(_points(query)), "query-blocks")
+    shape_q, shape_t = spread(query), spread(targets)
+    root = math.sqrt if metric == "sqeuclidean" else float
+    reach = np.full(len(shape_q[0]), np.inf if epsilon is None else root(epsilon))
+    found = None
+    if k is not None:
+        first = query.groupBy("block").cogroup(targets.groupBy("block")).applyInArrow(lambda a, b: kernel(a, b), schema)
+        found = materialize(first, "near")
+        far = found.groupBy("qid").agg(F.max("dist").alias("far"), F.count("*").alias("n"))
+        far = query.select(F.col("id").alias("qid"), "block").join(far, "qid", "left")
+        far = far.groupBy("block").agg(F.max(F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(math.inf))).alias("far"))
+        known = {r.block: root(r.far) for r in far.collect()}  # one row a block
+        reach = np.minimum(reach, [known.get(b, math.inf) for b in shape_q[0].tolist()])
+    pairs = meetings(own, shape_q, shape_t, reach, apart=k is not None)
+    if 2 * len(pairs) > len(shape_q[0]) * len(shape_t[0]):  # nothing to gain: fewer, larger blocks copy less
+        query, targets = (t.select("id", "x") for t in (query, targets))
+        return _ranked(blocked(query, targets, kernel, schema, block=block), k)
+    left, right = brought_together(query, targets, pairs)
+    rest = left.groupBy("_q", "_t").cogroup(right.groupBy("_q", "_t")).applyInArrow(lambda a, b: kernel(a, b), schema)
+    return _ranked(rest if found is None else found.union(rest), k)
 
 
 def _ranked(found: DataFrame, k: int | None) -> DataFrame:

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.functions.metrics import Metric
+from weft.functions.metrics import Metric, canonical, pairwise
 from weft.graph import Graph
 from weft.plans.components import connected_components
-from weft.plans.linalg import LOCAL_EDGES
+from weft.plans.linalg import LOCAL_EDGES, LOCAL_VERTICES
 from weft.plans.tables import discard, looked_up, materialize
 
-from .neighbors import all_pairs
+from .cells import stacked
+from .neighbors import _points, all_pairs, blocked
 
 
 def _kruskal(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -82,9 +84,54 @@ def _pairs(points: DataFrame, metric: Metric) -> DataFrame:
     return all_pairs(points, metric).where("d <> 0").select("a", "b", F.col("d").alias("w"))
 
 
+def forest_of_points(points: DataFrame, metric: Metric = "euclidean", *, few: int = LOCAL_VERTICES) -> DataFrame:
+    """``a, b, w`` of the minimum spanning forest of points by their distances; equal ones go by ends, and 0 is no edge.
+
+    Up to ``few`` points all pairs are made. More are joined by Boruvka's rounds: blocks of points meet in kernels that keep, for each point, the nearest one of
+    another component only, so no table of pairs is made; the shortest such edge out of each component is taken, and components are merged.
+    """
+    if points.count() <= few:
+        return spanning_forest(_pairs(points, metric))
+    metric = metric if callable(metric) else canonical(metric)
+
+    def kernel(q: pa.Table, t: pa.Table) -> pa.Table:
+        order = np.argsort(t["id"].to_numpy(), kind="stable")
+        qid, tid, qroot, troot = q["id"].to_numpy(), t["id"].to_numpy()[order], q["root"].to_numpy(), t["root"].to_numpy()[order]
+        at, best = np.zeros(len(qid), np.int64), np.full(len(qid), np.inf)
+        if len(qid) and len(tid):
+            x, y = stacked(q["x"]), stacked(t["x"])[order]
+            step = max(1, 8_000_000 // len(tid))
+            for lo in range(0, len(qid), step):
+                d = pairwise(x[lo : lo + step], y, metric)
+                d[(qroot[lo : lo + step, None] == troot[None]) | (d == 0)] = np.inf
+                at[lo : lo + step] = d.argmin(1)
+                best[lo : lo + step] = d.min(1)
+        keep = np.isfinite(best)
+        return pa.table([pa.array(c[keep]) for c in (qroot, qid, tid[at] if len(tid) else at, best, troot[at] if len(tid) else at)], ["root", "q", "t", "w", "other"])
+
+    own = materialize(_points(points).withColumn("root", F.col("id")), "parts")
+    tree = None
+    while True:
+        near = blocked(own, own.toDF(*own.columns), kernel, "root long, q long, t long, w double, other long")
+        edge = F.struct("w", F.least("q", "t").alias("a"), F.greatest("q", "t").alias("b"), "other")
+        best = materialize(near.groupBy("root").agg(F.min(edge).alias("m")), "lightest")
+        if not best.take(1):
+            break
+        chosen = best.select("m.a", "m.b", "m.w").distinct()
+        tree = chosen if tree is None else tree.union(chosen)
+        roots = connected_components(best.select(F.col("root").alias("a"), F.col("m.other").alias("b")))
+        named = looked_up(own, roots.select(F.col("id").alias("root"), F.col("root").alias("_r")), "root", of=roots, how="left")
+        new = materialize(named.select("id", "x", F.coalesce("_r", "root").alias("root")), "parts")
+        discard(own)
+        discard(roots)
+        own = new
+    empty = points.sparkSession.createDataFrame([], "a long, b long, w double")
+    return empty if tree is None else tree
+
+
 def mst(points: DataFrame, *, metric: Metric = "euclidean") -> Graph:
     """Minimum spanning tree of points by their distances; points that coincide aren't connected by that."""
-    return _both_ways(points.select("id"), spanning_forest(_pairs(points, metric)))
+    return _both_ways(points.select("id"), forest_of_points(points, metric))
 
 
 def perturbed_mst(points: DataFrame, *, num_perturbations: int = 20, metric: Metric = "euclidean", jitter: float | None = None, seed: int = 0) -> Graph:
@@ -98,7 +145,7 @@ def perturbed_mst(points: DataFrame, *, num_perturbations: int = 20, metric: Met
     trees = spanning_forest(base).select("a", "b")
     for i in range(num_perturbations):
         noise = F.transform("x", lambda v, j: v + jitter * _gauss(F.col("id"), j, seed * 1_000_003 + i))
-        trees = trees.union(spanning_forest(_pairs(points.select("id", noise.alias("x")), metric)).select("a", "b"))
+        trees = trees.union(forest_of_points(points.select("id", noise.alias("x")), metric).select("a", "b"))
     share = trees.groupBy("a", "b").agg((F.count("*") / (num_perturbations + 1)).alias("w"))
     return _both_ways(points.select("id"), share)
 
