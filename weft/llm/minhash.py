@@ -163,13 +163,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, si
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = materialize(ends.join(nodes.select("node", F.col("rep").alias("doc_id")), "node"), "wanted")
     texts = materialize(looked_up(docs, wanted, "doc_id").select("node", "text"), "texts")
-    tasks = pairs.groupBy("b").agg(F.ceil(F.count("*") / VERIFY).alias("tasks"))
+    tasks = materialize(pairs.groupBy("b").agg(F.ceil(F.count("*") / VERIFY).alias("tasks")), "tasks")
     heads = tasks.join(texts.withColumnRenamed("node", "b"), "b").select("b", F.lit(None).cast("long").alias("a"), "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"))
-    rows = pairs.select("a", "b").join(tasks, "b").join(texts.withColumnRenamed("node", "a"), "a")
+    rows = looked_up(pairs.select("a", "b"), tasks, "b", salts=16).join(texts.withColumnRenamed("node", "a"), "a")
     rows = rows.select("b", "a", "text", F.pmod(F.xxhash64("a"), F.col("tasks")).alias("task"))
     dealt = heads.union(rows).repartition("b", "task").sortWithinPartitions("b", "task", F.asc_nulls_first("a")).drop("task")
     out = materialize(dealt.mapInArrow(worker, "a long, b long").distinct(), "links")
-    for old in (wanted, texts):
+    for old in (wanted, texts, tasks):
         discard(old)
     return out
 
