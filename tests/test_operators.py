@@ -546,3 +546,26 @@ def test_components_by_rounds_and_in_one_task(spark):
     rows = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(None, 3), (5, 5)]
     edges = spark.createDataFrame(rows, "a long, b long")
     assert sorted(map(tuple, connected_components(edges, one_task=0).collect())) == sorted(map(tuple, connected_components(edges).collect()))
+
+
+def test_sparse_solvers_equal_dense_ones(spark, monkeypatch):
+    """Conjugate gradients and Lanczos' method, as beyond the bound of dense problems, against the dense results."""
+    from weft.operators import embed, label
+
+    rng = np.random.default_rng(7)
+    g = weft.neighbor_graph(points(spark, rng.normal(size=(24, 2))), k=5).symmetrize("avg").persisted()
+    labels = spark.createDataFrame([(i, i % 3) for i in range(0, 24, 4)], "id long, label int")
+    values = spark.createDataFrame([(i, [float(np.sin(i)), float(i)]) for i in range(0, 24, 3)], "id long, y array<double>")
+
+    def results():
+        yield sorted(map(tuple, g.classify_harmonic(labels).collect()))
+        for penalty in (0, 0.1):
+            yield np.array([r.y for r in g.regression(values, smoothness_penalty=penalty).orderBy("id").collect()])
+        yield np.abs([r.coords for r in g.laplacian_eigenmaps(num_dims=2).orderBy("id").collect()])
+        yield [r.color for r in g.bicolor_spectral().orderBy("id").collect()]
+
+    dense = list(results())
+    monkeypatch.setattr(label, "LOCAL_VERTICES", 10)
+    monkeypatch.setattr(embed, "LOCAL_VERTICES", 10)
+    for a, b in zip(dense, results(), strict=True):
+        assert a == b if isinstance(a, list) else np.allclose(a, b, atol=1e-6)

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.graph import Graph
-from weft.plans.linalg import bounded, coo_to_numpy, from_numpy, gram, null_space, points_to_numpy, times_transposed, to_dense
+from weft.plans.linalg import LOCAL_VERTICES, bounded, coo_to_numpy, from_numpy, gram, null_space, points_to_numpy, times_transposed, to_dense
+from weft.plans.sparse import eigenvectors
+from weft.plans.tables import materialize
 
 from .analysis import laplacian, shortest_path
 from .transform import barycenter_edge_weights
@@ -37,11 +39,29 @@ def centred_distances(graph: Graph, *, directed: bool | None = None) -> DataFram
 
 
 def laplacian_eigenmaps(graph: Graph, *, num_dims: int | None = None, normed: bool = True, val_thresh: float = 1e-8) -> DataFrame:
-    """``id, coords``: eigenvectors of the Laplacian by ascending eigenvalue, those up to the threshold left out."""
+    """``id, coords``: eigenvectors of the Laplacian by ascending eigenvalue, those up to the threshold left out.
+
+    Beyond ``LOCAL_VERTICES`` vertices ``num_dims`` must be given, and the vectors come from Lanczos' method over tables.
+    """
+    if graph.num_vertices() > LOCAL_VERTICES and num_dims is not None:
+        return _lanczos(laplacian(graph, normed=normed), graph.vertices, num_dims, val_thresh)
     m = coo_to_numpy(laplacian(graph, normed=normed), graph.num_vertices())
     return from_numpy(graph.edges.sparkSession, null_space((m + m.T) / 2, num_dims, val_thresh))
 
 
+def _lanczos(cells: DataFrame, vertices: DataFrame, num_dims: int, threshold: float = 1e-8) -> DataFrame:
+    """``id, coords`` of the smallest eigenvalues beyond the threshold; more are computed until there are enough."""
+    both = cells.select("i", "j", (F.col("value") / 2).alias("value"))
+    both = both.union(both.select(F.col("j").alias("i"), F.col("i").alias("j"), "value")).groupBy("i", "j").agg(F.sum("value").alias("value"))
+    both, want = materialize(both, "symmetric"), num_dims + 1
+    while True:
+        values, found = eigenvectors(both, vertices, want)
+        skip = int(np.searchsorted(values, threshold))
+        if len(values) - skip >= num_dims or len(values) < want:
+            return found.select("id", F.slice("coords", skip + 1, num_dims).alias("coords"))
+        want += num_dims
+
+
 def _dims(points: DataFrame) -> int:
     return points.agg(F.max(F.size("x"))).first()[0]
 
@@ -65,7 +85,10 @@ def lle_matrix(graph: Graph) -> DataFrame:
 
 
 def locally_linear_embedding(graph: Graph, *, num_dims: int | None = None) -> DataFrame:
-    """``id, coords`` that the graph's weights (see ``barycenter_edge_weights``) make up best from each other."""
+    """``id, coords`` that the graph's weights (see ``barycenter_edge_weights``) make up best from each other. Beyond ``LOCAL_VERTICES`` vertices by Lanczos' method,
+    ``num_dims`` being given."""
+    if graph.num_vertices() > LOCAL_VERTICES and num_dims is not None:
+        return _lanczos(lle_matrix(graph), graph.vertices, num_dims)
     return from_numpy(graph.edges.sparkSession, null_space(coo_to_numpy(lle_matrix(graph), graph.num_vertices()), num_dims))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from weft.graph import Graph
 from weft.plans.iterate import until
-from weft.plans.linalg import LOCAL_EDGES, LOCAL_VERTICES, bounded, collected, coo_to_numpy, from_numpy
+from weft.plans.linalg import LOCAL_EDGES, LOCAL_VERTICES, collected, coo_to_numpy, from_numpy
+from weft.plans.sparse import eigenvectors, product, solve
 from weft.plans.tables import discard, materialize
 
 from .analysis import laplacian
@@ -46,7 +47,13 @@ def color_greedy(graph: Graph, *, local_edges: int = LOCAL_EDGES) -> DataFrame:
 
 
 def bicolor_spectral(graph: Graph) -> DataFrame:
-    """``id, color boolean``: sign of the Laplacian's eigenvector with the largest eigenvalue; vertex 0 is true."""
+    """``id, color boolean``: sign of the Laplacian's eigenvector with the largest eigenvalue; vertex 0 is true. Beyond ``LOCAL_VERTICES`` vertices by Lanczos'
+    method, for symmetric networks."""
+    if graph.num_vertices() > LOCAL_VERTICES:
+        _, found = eigenvectors(materialize(laplacian(graph), "laplacian"), graph.vertices, 1, smallest=False)
+        own = materialize(found.select("id", (F.col("coords")[0] > 0).alias("s")), "sides")
+        first = own.where("id = 0").first().s
+        return own.select("id", (F.col("s") == F.lit(first)).alias("color"))
     m = coo_to_numpy(laplacian(graph), graph.num_vertices())
     values, vectors = np.linalg.eigh((m + m.T) / 2)
     side = vectors[:, np.argmax(np.abs(values))] > 0
@@ -55,13 +62,19 @@ def bicolor_spectral(graph: Graph) -> DataFrame:
 
 
 def cluster_spectral(graph: Graph, num_clusters: int, *, kernel: str = "rbf", seed: int = 0) -> DataFrame:
-    """``id, cluster``: k-means on the normalised Laplacian's leading eigenvectors."""
+    """``id, cluster``: k-means on the normalised Laplacian's leading eigenvectors; beyond ``LOCAL_VERTICES`` vertices these come from Lanczos' method,
+    for symmetric networks."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    m = coo_to_numpy(laplacian(kernelize(graph, kernel), normed=True), graph.num_vertices())
-    _, vectors = np.linalg.eigh((m + m.T) / 2)
-    own = from_numpy(graph.vertices.sparkSession, vectors[:, :num_clusters]).withColumn("features", array_to_vector("coords"))
+    cells = laplacian(kernelize(graph, kernel), normed=True)
+    if graph.num_vertices() > LOCAL_VERTICES:
+        _, own = eigenvectors(materialize(cells, "laplacian"), graph.vertices, num_clusters)
+    else:
+        m = coo_to_numpy(cells, graph.num_vertices())
+        _, vectors = np.linalg.eigh((m + m.T) / 2)
+        own = from_numpy(graph.vertices.sparkSession, vectors[:, :num_clusters])
+    own = own.withColumn("features", array_to_vector("coords"))
     model = KMeans(k=num_clusters, seed=seed, initSteps=5, maxIter=100).fit(own)
     return model.transform(own).select("id", F.col("prediction").alias("cluster"))
 
@@ -124,8 +137,10 @@ def classify_local(graph: Graph, labels: DataFrame, **_) -> DataFrame:
 
 def classify_harmonic(graph: Graph, labels: DataFrame, *, use_CMN: bool = True) -> DataFrame:
     """``id, label``: unknown vertices get the harmonic function of the known ones, its classes scaled to the known ones' masses if
-    asked for; known labels stay. Bounded by ``LOCAL_VERTICES``."""
-    n = bounded(graph.num_vertices())
+    asked for; known labels stay. Beyond ``LOCAL_VERTICES`` vertices by conjugate gradients, for symmetric networks."""
+    n = graph.num_vertices()
+    if n > LOCAL_VERTICES:
+        return _harmonic(graph, materialize(_partial(labels), "labels"), use_CMN)
     own = {r.id: r.label for r in collected(_partial(labels), "labels", LOCAL_VERTICES)}
     known = np.array([i in own for i in range(n)])
     classes = sorted(set(own.values()))
@@ -139,9 +154,57 @@ def classify_harmonic(graph: Graph, labels: DataFrame, *, use_CMN: bool = True)
     return graph.vertices.sparkSession.createDataFrame(sorted(out.items()), "id long, label int")
 
 
+def _unknown(cells: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells between unknown vertices, and those from unknown to known ones; ``known`` has a column ``id``."""
+    k = known.select("id")
+    rows = cells.join(k, cells["i"] == k["id"], "left_anti")
+    return materialize(rows.join(k, rows["j"] == k["id"], "left_anti"), "inner"), materialize(rows.join(k, rows["j"] == k["id"], "left_semi"), "outer")
+
+
+def _harmonic(graph: Graph, known: DataFrame, use_CMN: bool) -> DataFrame:
+    classes = sorted(r[0] for r in known.select("label").distinct().collect())  # as many as there are classes
+    counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
+    inner, outer = _unknown(laplacian(graph), known)
+    one = known.select("id", F.array(*[(F.col("label") == c).cast("double") for c in classes]).alias("x"))
+    free = graph.vertices.join(known.select("id"), "id", "left_anti")
+    rhs = free.join(product(outer, one, len(classes)), "id", "left").select("id", F.coalesce(F.transform("y", lambda v: -v), F.array(*[F.lit(0.0)] * len(classes))).alias("x"))
+    f = materialize(solve(inner, rhs, len(classes)), "harmonic")
+    if use_CMN:
+        mass = f.agg(*[F.sum(F.col("x")[k]) for k in range(len(classes))]).first()
+        scale = [(1 + counts[c]) / m for c, m in zip(classes, mass, strict=True)]
+        f = f.select("id", F.array(*[F.col("x")[k] * F.lit(float(s)) for k, s in enumerate(scale)]).alias("x"))
+    best = F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position("x", F.array_max("x")).cast("int"))
+    return known.select("id", "label").union(f.select("id", best.cast("int")))
+
+
+def _regressed(graph: Graph, known: DataFrame, penalty: float, kernel: str, flat: bool) -> DataFrame:
+    width = 1 if flat else known.agg(F.max(F.size("y"))).first()[0]
+    y = known.select("id", (F.array(F.col("y").cast("double")) if flat else F.col("y").cast("array<double>")).alias("x"))
+    mean = [v or 0.0 for v in y.agg(*[F.avg(F.col("x")[k]) for k in range(width)]).first()]
+    y = materialize(y.select("id", F.array(*[F.col("x")[k] - F.lit(float(m)) for k, m in enumerate(mean)]).alias("x")), "values")
+    cells, zero = laplacian(kernelize(graph, kernel), normed=True), F.array(*[F.lit(0.0)] * width)
+    if penalty == 0:
+        inner, outer = _unknown(cells, y)
+        free = graph.vertices.join(y.select("id"), "id", "left_anti")
+        rhs = free.join(product(outer, y, width), "id", "left").select("id", F.coalesce(F.transform("y", lambda v: -v), zero).alias("x"))
+        f = solve(inner, rhs, width).union(y)
+    else:
+        scaled = cells.select("i", "j", (F.col("value") * F.lit(float(y.count() * penalty))).alias("value"))
+        held = y.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("value"))
+        lhs = materialize(scaled.union(held).groupBy("i", "j").agg(F.sum("value").alias("value")), "equations")
+        f = solve(lhs, graph.vertices.join(y, "id", "left").select("id", F.coalesce("x", zero).alias("x")), width)
+    out = F.array(*[F.col("x")[k] + F.lit(float(m)) for k, m in enumerate(mean)])
+    return f.select("id", (out[0] if flat else out).alias("y"))
+
+
 def regression(graph: Graph, targets: DataFrame, *, smoothness_penalty: float = 0, kernel: str = "rbf") -> DataFrame:
     """``id, y``: values on all vertices, smooth along the edges, from ``id, y`` (a number or an array) on some. Without a penalty the known ones
-    stay as they are. Bounded by ``LOCAL_VERTICES``."""
+    stay as they are. Beyond ``LOCAL_VERTICES`` vertices by conjugate gradients, for symmetric networks."""
+    if graph.num_vertices() > LOCAL_VERTICES:
+        known = materialize(targets.select("id", "y"), "known")
+        if not known.take(1):
+            raise ValueError("no values are known")
+        return _regressed(graph, known, smoothness_penalty, kernel, not str(targets.schema["y"].dataType.typeName()) == "array")
     rows = collected(targets.select("id", "y").orderBy("id"), "known values", LOCAL_VERTICES)
     if not rows:
         raise ValueError("no values are known")
