@@ -649,7 +649,15 @@ def weighted_betweenness(spark, d):
 # -- transformation ------------------------------------------------------------------------------------------------------------
 
 
-@query()
+# Each vertex's equations as rows with their right side, freed of one unknown after the other.
+@query(f"""WITH RECURSIVE {RANK}, z AS (SELECT s, t, list_transform(list_zip(b.x, a.x), lambda q: q[1] - q[2]) AS z FROM r JOIN p a ON a.id = s JOIN p b ON b.id = t WHERE k <= 5 AND d <> 0),
+tr AS (SELECT s, sum(list_dot_product(z, z)) AS tr FROM z GROUP BY s),
+row AS (SELECT a.s, a.t, list(list_dot_product(a.z, b.z) + CASE WHEN a.t = b.t THEN CASE WHEN tr > 0 THEN 1e-3 * tr ELSE 1e-3 END ELSE 0 END ORDER BY b.t) AS row FROM z a JOIN z b ON a.s = b.s JOIN tr ON tr.s = a.s GROUP BY a.s, a.t),
+q(k, s, ts, rows) AS (SELECT 0, s, list(t ORDER BY t), list(list_append(row, 1::DOUBLE) ORDER BY t) FROM row GROUP BY s
+UNION ALL SELECT k + 1, s, ts, list_transform(range(1, len(ts) + 1), lambda i: CASE WHEN i = k + 1 THEN list_transform(rows[i], lambda v: v / rows[k + 1][k + 1])
+ELSE list_transform(range(1, len(ts) + 2), lambda c: rows[i][c] - rows[i][k + 1] * rows[k + 1][c] / rows[k + 1][k + 1]) END) FROM q WHERE k < len(ts)),
+w AS (SELECT s, unnest(ts) AS t, unnest(list_transform(rows, lambda x: x[len(x)])) AS w FROM q WHERE k = len(ts))
+SELECT s AS src, t AS dst, round(w / sum(w) OVER (PARTITION BY s), 6) + 0.0 AS weight FROM w""")
 def barycenter_edge_weights(spark, d):
     return knn(spark, d).barycenter_edge_weights(points(spark, d)).edges.select("src", "dst", rounded("weight").alias("weight"))
 
