@@ -722,14 +722,46 @@ def _coords(df: DataFrame) -> DataFrame:
     return df.select("id", F.transform("coords", lambda v: F.round(F.abs(v), 4)).alias("coords"))
 
 
-@query()
+def _xy(df: DataFrame) -> DataFrame:
+    """Two coordinates without their signs."""
+    return df.select("id", *[(F.round(F.abs(F.col("coords")[i]), 4) + F.lit(0.0)).alias(c) for i, c in enumerate(("x", "y"))])
+
+
+def _leading(name: str, *others: str, rounds: int = 20_000) -> str:
+    """The leading unit vector of the matrix ``ms`` (a list of rows by place) among those orthogonal to others, by repeated products."""
+    out = f"""{name}_q(k, f) AS (SELECT 0, list(sin(i * 1.7 + {len(others)})::DOUBLE ORDER BY i) FROM o UNION ALL
+  SELECT k + 1, list_transform(x, lambda z: z / sqrt(list_dot_product(x, x))) FROM (SELECT k, $X AS x FROM {name}_q, ms{"".join(", " + o for o in others)} WHERE k < {rounds})),
+{name} AS MATERIALIZED (SELECT f AS {name} FROM {name}_q WHERE k = {rounds})"""
+    x = "list_transform(ms, lambda l: list_dot_product(l, f))"
+    if others:  # of what the product gives, the parts along the others go
+        parts = " - ".join(["y[i]", *(f"{o}[i] * list_dot_product(y, {o})" for o in others)])
+        return out.replace("$X AS x FROM", f"list_transform(range(1, len(y) + 1), lambda i: {parts}) AS x FROM (SELECT *, {x} AS y FROM").replace(f"WHERE k < {rounds})", f"WHERE k < {rounds}))")
+    return out.replace("$X", x)
+
+
+PLACES = "o AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM v)"
+MEAN = "y AS (SELECT src, dst, sum(weight) / 2 AS w FROM (SELECT * FROM e UNION ALL SELECT dst, src, weight FROM e) GROUP BY 1, 2)"
+
+
+@query(f"""WITH RECURSIVE {TRADE}, {MEAN}, {PLACES},
+ap(n, src, dst, d) AS (SELECT 0, a.id, b.id, CASE WHEN a.id = b.id THEN 0 ELSE coalesce(w, 'inf'::DOUBLE) END FROM v a JOIN v b ON true LEFT JOIN y ON y.src = a.id AND y.dst = b.id
+UNION ALL (SELECT n + 1, a, c, min(x) FROM (SELECT p.n, p.src AS a, q.dst AS c, p.d + q.d AS x FROM ap p JOIN ap q ON p.dst = q.src WHERE p.n < 5) GROUP BY n, a, c)),
+c AS (SELECT src, dst, -0.5 * d * d AS h FROM ap WHERE n = 5), m AS (SELECT src, dst, h - avg(h) OVER (PARTITION BY src) - avg(h) OVER (PARTITION BY dst) + avg(h) OVER () AS h FROM c),
+ms AS MATERIALIZED (SELECT list(l ORDER BY src) AS ms FROM (SELECT src, list(h ORDER BY dst) AS l FROM m GROUP BY src)), {_leading("one")}, {_leading("two", "one")}
+SELECT id, round(abs(one[i]) * sqrt(list_dot_product(one, list_transform(ms, lambda l: list_dot_product(l, one)))), 4) + 0.0 AS x,
+       round(abs(two[i]) * sqrt(list_dot_product(two, list_transform(ms, lambda l: list_dot_product(l, two)))), 4) + 0.0 AS y FROM o, one, two, ms""")
 def isomap(spark, d):
-    return _coords(trade(spark, d).symmetrize("avg").isomap(num_dims=2))
+    return _xy(trade(spark, d).symmetrize("avg").isomap(num_dims=2))
 
 
-@query()
+# The smallest of the Laplacian are the largest of 2 - L, beyond the one that is known.
+@query(f"""WITH RECURSIVE {TRADE}, {MEAN}, {PLACES}, g AS (SELECT dst AS id, sum(w) AS g FROM y GROUP BY 1),
+ms AS MATERIALIZED (SELECT list(l ORDER BY id) AS ms FROM (SELECT a.id, list(CASE WHEN a.id = b.id THEN 1 ELSE coalesce(w / sqrt(ga.g) / sqrt(gb.g), 0) END ORDER BY b.id) AS l
+  FROM v a JOIN v b ON true JOIN g ga ON ga.id = a.id JOIN g gb ON gb.id = b.id LEFT JOIN y ON y.src = a.id AND y.dst = b.id GROUP BY a.id)),
+known AS MATERIALIZED (SELECT list(sqrt(g / (SELECT sum(g) FROM g)) ORDER BY id) AS known FROM g), {_leading("one", "known")}, {_leading("two", "known", "one")}
+SELECT id, round(abs(one[i]), 4) + 0.0 AS x, round(abs(two[i]), 4) + 0.0 AS y FROM o, one, two""")
 def laplacian_eigenmaps(spark, d):
-    return _coords(trade(spark, d).symmetrize("avg").laplacian_eigenmaps(num_dims=2))
+    return _xy(trade(spark, d).symmetrize("avg").laplacian_eigenmaps(num_dims=2))
 
 
 def _projection(spark, m) -> DataFrame:
@@ -884,7 +916,13 @@ def cuthill_mckee(spark, d):
     return knn(spark, d).symmetrize("max").cuthill_mckee().pairs()
 
 
-@query()
+@query(f"""WITH RECURSIVE {TRADE}, {MEAN}, {PLACES}, g AS (SELECT dst AS id, sum(w) AS g FROM y GROUP BY 1), top AS (SELECT 2 * max(g) AS top FROM g),
+ms AS MATERIALIZED (SELECT list(l ORDER BY id) AS ms FROM (SELECT a.id, list(CASE WHEN a.id = b.id THEN top - g ELSE coalesce(w, 0) END ORDER BY b.id) AS l
+  FROM v a JOIN v b ON true JOIN g ON g.id = a.id CROSS JOIN top LEFT JOIN y ON y.src = a.id AND y.dst = b.id GROUP BY a.id)),
+known AS MATERIALIZED (SELECT list(1 / sqrt((SELECT count(*) FROM v)) ORDER BY id) AS known FROM v), {_leading("one", "known")},
+big AS (SELECT one[list_position(list_transform(one, lambda z: round(abs(z), 10)), list_max(list_transform(one, lambda z: round(abs(z), 10))))] AS big FROM one),
+place AS (SELECT id, row_number() OVER (ORDER BY one[i] * sign(big), id) - 1 AS p FROM o, one, big)
+SELECT a.p::BIGINT AS src, b.p::BIGINT AS dst FROM y JOIN place a ON a.id = src JOIN place b ON b.id = dst""")
 def laplacian_reordering(spark, d):
     return trade(spark, d).symmetrize("avg").laplacian_reordering().pairs()
 
