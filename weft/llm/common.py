@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 from collections.abc import Callable
 
@@ -42,6 +44,8 @@ def take_memory(owner: str, release: Callable[[], None]) -> None:
     if _remembers and _remembers[0][0] != owner:
         _remembers.pop()[1]()
         gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # freed memory goes back to the system where its library can do that
+            ctypes.CDLL(None).malloc_trim(0)
     if not _remembers:
         _remembers.append((owner, release))
     pa.default_memory_pool().release_unused()

@@ -35,7 +35,7 @@ QUANTILE, MARGIN, SHORT = 0.99, 0.9, 4.0
 SHARPNESS = 12.0
 UNKNOWN = "und"
 #: Scores that a worker remembers: words times languages.
-CACHE_SCORES = 600_000
+CACHE_SCORES = 400_000
 #: Longer runs of letters (no spaces between words) are scored each time, without a place in the memory.
 LONG_WORD = 64
 

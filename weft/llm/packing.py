@@ -31,7 +31,7 @@ END_ID = 1
 #: Bins with a gap that a worker keeps waiting; beyond, the next document is cut whatever its length.
 WAITING = 256
 #: Pre-tokens whose ids a worker remembers; the memory is emptied when full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
