@@ -104,21 +104,29 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 # Candidates: assignments of secrets, keys, account numbers, numbers in groups, handles, addresses, and names after a title or with a known first name.
-_CANDIDATE = re.compile(
-    r"(?P<assigned>\b[A-Za-z_]{2,20}[ ]?[=:][ ]?[\"']?[A-Za-z0-9+/_.@-]{6,}[\"']?)"
-    r"|(?P<account>\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<key>\b(?=[A-Z0-9]*[0-9])[A-Z][A-Z0-9]{11,}\b)"
-    r"|(?P<hex>\b(?=[0-9a-f]*[0-9])[0-9a-f]{16,}\b)"
-    r"|(?P<address>\b[0-9]{1,5}[ ][A-Z][a-z]{2,20}(?:[ ][A-Z][a-z]{2,20})?[ ](?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd|Drive|Court|Ct|Square|Way)\b"
-    r"|\b[A-ZÄÖÜ][a-zäöüß]{2,25}(?:straße|strasse|weg|platz|allee|gasse)[ ][0-9]{1,4}[a-z]?\b"
-    r"|\b(?:[Rr]ue|[Cc]alle|[Aa]venida|[Pp]laza|[Aa]venue|[Vv]ia)[ ](?:(?:de|del|la|du|des)[ ]){0,2}[A-ZÀ-Þ][a-zà-ÿ]{2,20},?[ ][0-9]{1,4}\b)"
-    r"|(?P<number>\b[0-9]{2,4}(?:[ -][0-9]{2,6}){1,4}\b)"
-    r"|(?P<identity>\b[0-9]{8}-?[A-Z]\b)"
-    r"|(?P<handle>(?<!\S)@[A-Za-z0-9_]{3,30}\b)"
-    r"|(?P<name>\b(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sr|Sra|Mme|Mlle)\.?[ ])?[A-ZÀ-Þ][a-zà-ÿ]{1,20}(?:[ ][A-ZÀ-Þ][a-zà-ÿ]{1,20}){1,6}\b)"
-)
-#: A cheap test before the pattern: whatever ``_CANDIDATE`` matches holds one of these.
-_MAYBE = re.compile(r"[0-9][ -][0-9]|[0-9a-f]{16}|[A-Z][A-Z0-9]{11}|[=:@]|[A-Z]{2}[0-9]{2}|[0-9][ ][A-Z]|[a-zà-ÿ],?[ ](?:[0-9]|[A-ZÀ-Þ][a-zà-ÿ])|[.][ ][A-ZÀ-Þ]|[0-9]{8}-?[A-Z]")
+# kind -> (a part that each match holds, for a quick search before; the pattern). Where matches of two kinds overlap, the one that begins first counts, of equal
+# beginnings the kind that comes first here.
+_PATTERNS = {
+    "assigned": (re.compile("[=:]"), re.compile(r"\b[A-Za-z_]{2,20}[ ]?[=:][ ]?[\"']?[A-Za-z0-9+/_.@-]{6,}[\"']?")),
+    "account": (re.compile("[A-Z]{2}[0-9]{2}"), re.compile(r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b")),
+    "key": (re.compile("[A-Z][A-Z0-9]{11}"), re.compile(r"\b(?=[A-Z0-9]*[0-9])[A-Z][A-Z0-9]{11,}\b")),
+    "hex": (re.compile("[0-9a-f]{16}"), re.compile(r"\b(?=[0-9a-f]*[0-9])[0-9a-f]{16,}\b")),
+    "address": (
+        re.compile("[0-9][ ][A-Z]|[a-zà-ÿ],?[ ][0-9]"),
+        re.compile(
+            r"\b[0-9]{1,5}[ ][A-Z][a-z]{2,20}(?:[ ][A-Z][a-z]{2,20})?[ ](?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd|Drive|Court|Ct|Square|Way)\b"
+            r"|\b[A-ZÄÖÜ][a-zäöüß]{2,25}(?:straße|strasse|weg|platz|allee|gasse)[ ][0-9]{1,4}[a-z]?\b"
+            r"|\b(?:[Rr]ue|[Cc]alle|[Aa]venida|[Pp]laza|[Aa]venue|[Vv]ia)[ ](?:(?:de|del|la|du|des)[ ]){0,2}[A-ZÀ-Þ][a-zà-ÿ]{2,20},?[ ][0-9]{1,4}\b"
+        ),
+    ),
+    "number": (re.compile("[0-9][ -][0-9]"), re.compile(r"\b[0-9]{2,4}(?:[ -][0-9]{2,6}){1,4}\b")),
+    "identity": (re.compile("[0-9]{8}-?[A-Z]"), re.compile(r"\b[0-9]{8}-?[A-Z]\b")),
+    "handle": (re.compile("@"), re.compile(r"(?<!\S)@[A-Za-z0-9_]{3,30}\b")),
+    "name": (None, re.compile(r"\b(?:(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sr|Sra|Mme|Mlle)\.?[ ])?[A-ZÀ-Þ][a-zà-ÿ]{1,20}(?:[ ][A-ZÀ-Þ][a-zà-ÿ]{1,20}){1,6}\b")),
+}
+#: Kinds whose matches hold a digit.
+_WITH_DIGIT = frozenset("account key hex address number identity".split())
+_CAPITALISED = re.compile("[A-ZÀ-Þ][a-zà-ÿ]+")
 _ALNUM = re.compile(r"[A-Za-z0-9]")
 # Gazetteers of the words that name a secret or a person's number, of those that name something else, and of those around a person's name.
 _SECRET_WORDS = frozenset("password passwd pwd token secret apikey api_key access_key auth bearer credential pin passcode clave passwort kennwort".split())
@@ -140,38 +148,51 @@ _SOCIAL = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")
 _DIALLED = re.compile(r"\+[0-9][0-9 ().-]*$")
 _WORD_BEFORE = re.compile(r"([A-Za-z_]+)[^A-Za-z_]{0,4}$")
 
-KINDS = ("assigned", "account", "key", "hex", "address", "number", "identity", "handle", "name")
+KINDS = tuple(_PATTERNS)
 #: Kinds of added spans by kind of candidate.
 ADDED = {"assigned": "secret", "key": "secret", "hex": "secret", "account": "account", "address": "address", "identity": "number", "number": "number", "handle": "handle", "name": "name"}
 LABELERS = ("shape", "head", "gazetteer", "context", "entropy", "not_date", "checksum")
 FEATURES = len(KINDS) + len(LABELERS) * 2 + 4
 
 
-def _candidates(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
-    spans, at = [], 0
+def _named(m: re.Match) -> tuple[int, int] | None:
+    """The part of a run of capitalised words from a title or known first name on."""
+    words = [(w[0].rstrip("."), m.start() + w.start(), m.start() + w.end()) for w in re.finditer(r"\S+", m[0])]
+    known = next((k for k, (w, _, _) in enumerate(words[:-1]) if w in _TITLES or w in _FIRST_NAMES), None)
+    if known is None:
+        return None
+    return words[known][1], words[min(known + (3 if words[known][0] in _TITLES else 2), len(words)) - 1][2]
+
+
+def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans that labelers vote on, besides those that overlap a base span."""
+    digits, found = _DIGIT.search(text), []
+    for place, (kind, (part, pattern)) in enumerate(_PATTERNS.items()):
+        if kind == "name":
+            seen = _CAPITALISED.findall(text)
+            if not (_TITLES.isdisjoint(seen) and _FIRST_NAMES.isdisjoint(seen)):
+                found += [(*span, place) for span in map(_named, pattern.finditer(text)) if span]
+        elif (digits or kind not in _WITH_DIGIT) and part.search(text):
+            found += [(m.start(), m.end(), place) for m in pattern.finditer(text)]
+    if not found:
+        return []
+    found.sort(key=lambda x: (x[0], x[2]))
+    spans: list[list[int]] = []
     for a, b in sorted((a, b) for _, a, b in taken):  # joined where they overlap
         if spans and a < spans[-1][1]:
             spans[-1][1] = max(b, spans[-1][1])
         else:
             spans.append([a, b])
-    for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
+    out, at, end = [], 0, 0
+    for a, b, place in found:
+        if a < end:
+            continue
         while at < len(spans) and spans[at][1] <= a:
             at += 1
-        if at < len(spans) and spans[at][0] < b:
-            continue
-        if m.lastgroup == "name":
-            words = [(w[0].rstrip("."), a + w.start(), a + w.end()) for w in re.finditer(r"\S+", m[0])]
-            known = next((k for k, (w, _, _) in enumerate(words[:-1]) if w in _TITLES or w in _FIRST_NAMES), None)
-            if known is None:
-                continue
-            a, b = words[known][1], words[min(known + (3 if words[known][0] in _TITLES else 2), len(words)) - 1][2]
-        yield m.lastgroup, a, b
-
-
-def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans that labelers vote on, besides those that overlap a base span."""
-    return list(_candidates(text, taken)) if _MAYBE.search(text) else []
+        if at == len(spans) or spans[at][0] >= b:
+            out.append((KINDS[place], a, b))
+            end = b
+    return out
 
 
 def _remainder(account: str) -> int:
