@@ -24,6 +24,8 @@ from .common import discard, materialize, text_batches
 
 #: Bound of the sample of candidates that the span classifier is trained on, in all and for each combination of votes.
 SAMPLE_CANDIDATES, SAMPLE_EACH = 20_000, 200
+#: Parts in which a combination's candidates are thinned out first.
+PARTS = 64
 ROUNDS = 60
 THRESHOLD = 0.5
 
@@ -323,7 +325,10 @@ def learn(docs: DataFrame, *, text_col: str = "text", sample: int = SAMPLE_CANDI
     patterns = {tuple(map(int, r[0].split(","))): r[1] for r in seen.groupBy("v").agg(F.sum("n")).collect()}
     each = max(1, min(each, sample // max(len(patterns), 1)))
     by_hash = Window.partitionBy("v").orderBy("h", "f")
-    rows = seen.select("v", "h", "f").withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= each).select("v", "h", "f").collect()
+    # In two steps, since workers send so many of each combination: no task sees more than the smallest of each part of a combination.
+    by_part = Window.partitionBy("v", F.pmod("h", F.lit(PARTS))).orderBy("h", "f")
+    rows = seen.select("v", "h", "f").withColumn("k", F.row_number().over(by_part)).where(F.col("k") <= each).select("v", "h", "f")
+    rows = rows.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= each).select("v", "h", "f").collect()
     discard(seen)
     if not rows:
         return np.zeros(FEATURES + 1) - 1.0
