@@ -553,9 +553,9 @@ def test_sparse_solvers_equal_dense_ones(spark, monkeypatch):
     from weft.operators import embed, label
 
     rng = np.random.default_rng(7)
-    g = weft.neighbor_graph(points(spark, rng.normal(size=(24, 2))), k=5).symmetrize("avg").persisted()
-    labels = spark.createDataFrame([(i, i % 3) for i in range(0, 24, 4)], "id long, label int")
-    values = spark.createDataFrame([(i, [float(np.sin(i)), float(i)]) for i in range(0, 24, 3)], "id long, y array<double>")
+    g = weft.neighbor_graph(points(spark, rng.normal(size=(14, 2))), k=4).symmetrize("avg").persisted()
+    labels = spark.createDataFrame([(i, i % 3) for i in range(0, 14, 4)], "id long, label int")
+    values = spark.createDataFrame([(i, [float(np.sin(i)), float(i)]) for i in range(0, 14, 3)], "id long, y array<double>")
 
     def results():
         yield sorted(map(tuple, g.classify_harmonic(labels).collect()))
